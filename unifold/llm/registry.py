@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import quality, tokens, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (tokens.op6_bpe_codec, tokens.op7_token_counts)}
+    return {f.__name__: f for f in (quality.op4_quality_rules, tokens.op6_bpe_codec, tokens.op7_token_counts, toxicity.op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
