@@ -1,0 +1,55 @@
+"""Edit distances of many pairs of sequences at once."""
+
+from __future__ import annotations
+
+import numpy as np
+
+BATCH = 512
+
+
+def distances(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of each pair of rows, exact where it is at most ``most``, else larger than that.
+
+    Rows are runs of symbols (any integers). Pairs go in batches of like length,
+    one table row at a time, over a band as wide as the bound needs.
+    """
+    la, lb = np.diff(a_first), np.diff(b_first)
+    out = np.maximum(la, lb).astype(np.int64)
+    todo = np.flatnonzero(np.abs(la - lb) <= most)
+    out[np.abs(la - lb) > most] += most[np.abs(la - lb) > most] + 1
+    todo = todo[np.lexsort((most[todo], la[todo]))]
+    for at in range(0, len(todo), BATCH):
+        k = todo[at : at + BATCH]
+        out[k] = _batch(a, a_first[k], la[k], b, b_first[k], lb[k], int(most[k].max()))
+    return out
+
+
+def _batch(a, fa, la, b, fb, lb, band: int) -> np.ndarray:
+    n, width, height = len(la), 2 * band + 1, int(la.max()) if len(la) else 0
+    far = np.int32(1 << 28)
+    shift = np.arange(width) - band  # column j of row i stands for place i + shift[j] of b
+    row = np.where(shift >= 0, shift, far).astype(np.int32)[None].repeat(n, 0)
+    row[shift[None] > lb[:, None]] = far
+    result = row[np.arange(n), np.clip(lb + band, 0, width - 1)].copy()
+    ramp = np.arange(width, dtype=np.int32)
+    for i in range(1, height + 1):
+        place = i + shift
+        inside = (place[None] >= 1) & (place[None] <= lb[:, None])
+        here = b[np.minimum(fb[:, None] + np.clip(place - 1, 0, None)[None], len(b) - 1)] if len(b) else np.zeros((n, width), a.dtype)
+        same = (here == a[np.minimum(fa + i - 1, len(a) - 1)][:, None]) & inside
+        best = np.where(inside, row + ~same, far)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        if i <= band:
+            best[:, band - i] = i
+        best[(place[None] < 0) | (place[None] > lb[:, None])] = far
+        best = np.minimum.accumulate(best - ramp, axis=1) + ramp
+        row = np.minimum(best, far).astype(np.int32)
+        row[(place[None] < 0) | (place[None] > lb[:, None])] = far
+        ends = np.flatnonzero(la == i)
+        if len(ends):
+            col = lb[ends] - i + band
+            ok = (col >= 0) & (col < width)
+            result[ends] = np.where(ok, row[ends, np.clip(col, 0, width - 1)], far)
+    zero = la == 0
+    result[zero] = lb[zero]
+    return result
