@@ -32,6 +32,7 @@ FUZZY = 5  #: letters from which a whole word is found with one edit
 QUOTES = np.array([ord(c) for c in "\"«»“”„"], np.uint32)
 ADDRESS = ("you", "your", "youre", "yourself", "du", "dich", "ihr", "tu", "toi", "vous", "usted", "eres", "sie")
 NEAR = 6  #: words on each side of a hit that count as its context
+BROADCAST = 4_000_000  #: labels that may be broadcast (under 100 MB); beyond, a shuffled join
 NAMES = ("whole", "stem", "fuzzy", "quoted", "addressed")
 
 
@@ -103,7 +104,7 @@ def lexicon(train: DataFrame, least: float = 0.004, least_rows: int = 4, purity:
             yield pa.RecordBatch.from_arrays([kernel.signed(h), pa.array([spelled(points, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.string()), pa.array(k), pa.array(n)], names=["h", "term", "stem", "n"])
 
     toxic, clean = train.where("toxic").select("text"), train.where(~F.col("toxic")).select("text")
-    total = toxic.count()
+    total = train.select("toxic").where("toxic").count()
     if not total:
         return []
     floor = max(least_rows, least * total)
@@ -306,7 +307,11 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     out_of = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(True))
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("held_out", out_of)
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg((F.max(label) == 1).alias("toxic"))
-    train = storage.written(rows.where(~F.col("held_out")).join(known, "id").select("id", "text", "toxic"), "toxic-train")
+    known = storage.written(known, "toxic-labels")
+    # Texts stay where they are while the labels are few enough to be sent to them; else they are shuffled once and kept.
+    few = known.count() <= BROADCAST
+    train = rows.where(~F.col("held_out")).join(F.broadcast(known) if few else known, "id").select("id", "text", "toxic")
+    train = train if few else storage.written(train, "toxic-train")
     auto = Automaton(lexicon(train.select("text", "toxic")))
     share = spark.sparkContext.broadcast(auto)
 
@@ -315,7 +320,7 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             x = describe(share.value, *part[1:])
             yield pa.RecordBatch.from_arrays([part[0].column(1), *(pa.array(c) for c in x.T)], names=["toxic", *NAMES, "words"])
 
-    share_of = fit_rows / max(train.count(), 1)
+    share_of = fit_rows / max(train.select("id").count(), 1)
     sample = train if share_of >= 1 else train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share_of * 1_000_000))
     got = sample.select("text", "toxic").mapInArrow(counted, "toxic boolean, " + ", ".join(f"{n} double" for n in (*NAMES, "words"))).toArrow()
     x = np.column_stack([got.column(n).to_numpy() for n in (*NAMES, "words")]) if got.num_rows else np.zeros((0, len(NAMES) + 1))
