@@ -295,22 +295,35 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> n
     return w
 
 
-def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 50_000) -> DataFrame:
-    """id, held_out, score and predicted for each row of ``df``.
+class Model:
+    """A lexicon's automaton and the weights of the counts it gives."""
+
+    def __init__(self, auto: Automaton, weights: np.ndarray):
+        self.auto, self.weights = auto, weights
+
+    def scores(self, part) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs(describe(self.auto, *part[1:])) @ self.weights, -30, 30)))
+
+
+def held_out(id):
+    """Rows whose crc32 of the id as text is 0 modulo 5, and those without an id."""
+    return F.coalesce(F.crc32(id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def learn(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 50_000) -> Model:
+    """A model from the labelled rows of ``df`` that aren't held out.
 
-    Rows whose crc32 of the id as text is 0 modulo 5 are held out of all
-    learning. The model is fitted on about ``fit_rows`` labelled rows, those of
-    the smallest hashes; the lexicon and its counts use all of them.
+    The weights are fitted on about ``fit_rows`` labelled rows, those of the
+    smallest hashes; the lexicon and its counts use all of them.
     """
     spark = df.sparkSession
     storage.bounded_batches(spark)
-    out_of = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(True))
-    rows = df.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("held_out", out_of)
+    rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg((F.max(label) == 1).alias("toxic"))
     known = storage.written(known, "toxic-labels")
     # Texts stay where they are while the labels are few enough to be sent to them; else they are shuffled once and kept.
     few = known.count() <= BROADCAST
-    train = rows.where(~F.col("held_out")).join(F.broadcast(known) if few else known, "id").select("id", "text", "toxic")
+    train = rows.where(~held_out(F.col("id"))).join(F.broadcast(known) if few else known, "id").select("id", "text", "toxic")
     train = train if few else storage.written(train, "toxic-train")
     auto = Automaton(lexicon(train.select("text", "toxic")))
     share = spark.sparkContext.broadcast(auto)
@@ -324,16 +337,32 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     sample = train if share_of >= 1 else train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share_of * 1_000_000))
     got = sample.select("text", "toxic").mapInArrow(counted, "toxic boolean, " + ", ".join(f"{n} double" for n in (*NAMES, "words"))).toArrow()
     x = np.column_stack([got.column(n).to_numpy() for n in (*NAMES, "words")]) if got.num_rows else np.zeros((0, len(NAMES) + 1))
-    weights = fit(inputs(x), np.asarray(got.column("toxic").to_pylist(), float))
+    return Model(auto, fit(inputs(x), np.asarray(got.column("toxic").to_pylist(), float)))
+
+
+def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 50_000) -> DataFrame:
+    """id, held_out, score and predicted for each row of ``df``, by a model learned from its labelled rows."""
+    share = df.sparkSession.sparkContext.broadcast(learn(df, labels, id, text, label, fit_rows))
 
     def scored(batches):
         for part in parts(batches, 2):
-            z = inputs(describe(share.value, *part[1:])) @ weights
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            s = share.value.scores(part)
             yield pa.RecordBatch.from_arrays([part[0].column(0), part[0].column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "held_out", "text").mapInArrow(scored, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id)
+    rows = df.select(F.col(id).alias("id"), held_out(F.col(id)).alias("held_out"), F.col(text).alias("text"))
+    return rows.mapInArrow(scored, f"id {dict(rows.dtypes)['id']}, held_out boolean, score double, predicted int").withColumnRenamed("id", id)
+
+
+def accepted(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``df``, with all their columns, that the model doesn't call toxic. Map-only."""
+    share = df.sparkSession.sparkContext.broadcast(learn(df, labels, id, text, label))
+    at = df.columns.index(text)
+
+    def kept(batches):
+        for part in parts(batches, at):
+            yield part[0].filter(pa.array(share.value.scores(part) < 0.5))
+
+    return df.mapInArrow(kept, df.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
