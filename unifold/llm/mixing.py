@@ -41,19 +41,21 @@ from pyspark.sql import functions as F
 
 from . import kernel, storage
 
-LEXICON = 1 << 16
+LEXICON = 1 << 17
+LEAST = 6  #: training occurrences of a word of the lexicon: spellings are learned on the others
 COMMON = 300_000  #: words whose exact counts are broadcast (under 5 MB)
 BITS = 20  #: of a table's size
 TABLES = 4
 CHUNK = 1 << 14
 FREQUENT = 48  #: the tokens of least rank that count as very common
-SEGMENT = 192  #: decisions of a document between two changes of its weights
-RATE = 0.012
-START = np.array([[0.34, 0.26, 0.36, 0.2], [0.28, 0.36, 0.3, 0.3]], np.float32)  #: weights of tree and spelling
+SEGMENT = 96, 1536  #: decisions of a document between two changes of its weights: a third of those read, within these bounds
+RATE = 0.015, 0.006  #: of learning, in the tree and in spellings
+START = np.array([[0.15, 0.35, 0.6, 0.2], [0.28, 0.36, 0.3, 0.3]], np.float32)  #: weights of tree and spelling
 GATES = 24
-SLICE = 192 << 10
+SLICE = 384 << 10
 MIXED = np.uint64(0x9E3779B97F4A7C15)
-STEPS = 12  #: buckets of the probability map
+NODE = np.uint64(0xD6E8FEB86659FD93)
+STEPS = 24  #: buckets of the probability map
 
 U = np.uint64
 END = U(0xE4D)  #: stands for the hash of the end
@@ -93,7 +95,7 @@ class Codes:
             paths += p[::-1]
             bits += s[::-1]
             size[i] = len(p)
-        self.size, self.nodes, self.bits = size, np.array(paths, np.int64), np.array(bits, np.uint8)
+        self.size, self.nodes, self.bits = size, np.array(paths, np.int32), np.array(bits, np.uint8)
         self.at = np.cumsum(size) - size
 
 
@@ -148,7 +150,7 @@ def decisions(lex: Lexicon, buf: np.ndarray, offs: np.ndarray):
         stop = np.cumsum(size)
         begin = stop - size
         at = np.repeat(lex.codes.at[sym] - begin, size) + np.arange(stop[-1] if n else 0)
-        node, bit = spread(lex.codes.nodes)[at], lex.codes.bits[at]
+        node, bit = lex.codes.nodes[at].astype(np.uint64) * NODE, lex.codes.bits[at]
         tree = [slot(np.repeat(c, size) + node) for c in contexts]
         depth = np.minimum(np.arange(len(at)) - np.repeat(begin, size), GATES - 9)
         edges = np.concatenate([[0], stop])[first]
@@ -175,7 +177,7 @@ def decisions(lex: Lexicon, buf: np.ndarray, offs: np.ndarray):
         ]
         level = np.tile(np.arange(8), len(byte))
         wide = np.repeat(byte, 8).astype(np.int64)
-        node = spread((1 << level) | (wide >> (8 - level)))
+        node = ((1 << level) | (wide >> (8 - level))).astype(np.uint64) * NODE
         spelled = [slot(np.repeat(c, 8) + node) for c in ctx]
     edge2 = 8 * np.concatenate([[0], till])[np.searchsorted(own, first)]
     return (tree, bit, depth.astype(np.int64), edges), (spelled, ((wide >> (7 - level)) & 1).astype(np.uint8), GATES - 8 + level, edge2)
@@ -188,10 +190,10 @@ def table_counts(train: DataFrame, lex) -> np.ndarray:
 
     def count(batches):
         sums = np.zeros((TABLES, 2 << BITS), np.int32)
-        for _, buf, offs in kernel.slices(batches, 0, 4 * SLICE):
-            for slots, bit, _, _ in decisions(lex.value, buf, offs):
-                for t in range(TABLES):
-                    sums[t] += np.bincount(slots[t] * 2 + bit, minlength=2 << BITS).astype(np.int32)
+        for _, buf, offs in kernel.slices(batches, 0, SLICE):
+            tree, spelled = decisions(lex.value, buf, offs)
+            for t in range(TABLES):
+                sums[t] += np.bincount(np.concatenate([s[0][t] * 2 + s[1] for s in (tree, spelled)]), minlength=2 << BITS).astype(np.int32)
         flat = sums.ravel()
         for c in range(0, width // CHUNK, 64):
             ids = [k for k in range(c, c + 64) if flat[k * CHUNK : (k + 1) * CHUNK].any()]
@@ -223,10 +225,10 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 def stretched(counts: np.ndarray) -> np.ndarray:
     """ln(p / (1 - p)) of each slot's estimate, drawn to 0 where it has seen little."""
     zero, one = counts[..., 0].astype(np.float32), counts[..., 1].astype(np.float32)
-    return (np.log((one + 0.3) / (zero + 0.3)) * ((zero + one) / (zero + one + 0.6))).astype(np.float16)
+    return (np.log((one + 0.05) / (zero + 0.05)) * ((zero + one) / (zero + one + 0.2))).astype(np.float32)
 
 
-def cost(table: np.ndarray, stream, start: np.ndarray) -> np.ndarray:
+def cost(table: np.ndarray, stream, start: np.ndarray, rate: float) -> np.ndarray:
     """The natural logarithm of the probability of each row's decisions."""
     slots, bit, gate, edges = stream
     rows = len(edges) - 1
@@ -236,37 +238,46 @@ def cost(table: np.ndarray, stream, start: np.ndarray) -> np.ndarray:
     active = int((size > 0).sum())
     if not active:
         return out
-    x = np.stack([table[t][slots[t]] for t in range(TABLES)], axis=1).astype(np.float32)
+    x = np.stack([table[t][slots[t]] for t in range(TABLES)], axis=1)
     weights = np.broadcast_to(start, (active * GATES, TABLES)).astype(np.float32)
-    hits = np.zeros((active * GATES * STEPS, 2), np.float32)
+    hits = np.zeros((2, active * STEPS), np.float32)
     done = 0
     sizes, begins = size[order], edges[:-1][order]
     while active:
-        take = np.minimum(sizes[:active] - done, SEGMENT)
+        span = min(max(done // 3, SEGMENT[0]), SEGMENT[1])
+        take = np.minimum(sizes[:active] - done, span)
         stop = np.cumsum(take)
-        at = np.repeat(begins[:active] + done - (stop - take), take) + np.arange(stop[-1])
         doc = np.repeat(np.arange(active), take)
+        at = np.arange(stop[-1]) + (begins[:active] + done - (stop - take))[doc]
         key = doc * GATES + gate[at]
-        seen, y = x[at], bit[at].astype(np.float32)
-        dot = np.clip(np.einsum("ij,ij->i", seen, weights[key]), -12, 12)
+        seen, one = x[at], bit[at] > 0
+        dot = np.einsum("ij,ij->i", seen, weights[key])
+        np.minimum(np.maximum(dot, -12, out=dot), 12, out=dot)
         p = 1 / (1 + np.exp(-dot))
-        cell = key * STEPS + np.clip(((dot + 6) * (STEPS / 12)).astype(np.int64), 0, STEPS - 1)
-        had = hits[cell]
-        total = had.sum(1)
+        cell = doc * STEPS + ((dot + 12) * (STEPS / 24.001)).astype(np.int64)
+        no, yes = hits[0][cell], hits[1][cell]
         # The map's estimate leans on the mix until it has seen some hundred decisions.
-        q = (had[:, 1] + 120 * p) / (total + 120)
-        q = np.clip((p + q) / 2, 1e-6, 1 - 1e-6)
-        out[order[:active]] += np.bincount(doc, np.log(np.where(y > 0, q, 1 - q)), active)
-        wrong = y - p
+        q = (p + (yes + 120 * p) / (no + yes + 120)) / 2
+        out[order[:active]] += np.bincount(doc, np.log(np.where(one, q, 1 - q)), active)
+        wrong = (one - p) * np.float32(rate)
         for t in range(TABLES):
-            weights[: active * GATES, t] += RATE * np.bincount(key, wrong * seen[:, t], active * GATES).astype(np.float32)
+            weights[: active * GATES, t] += np.bincount(key, wrong * seen[:, t], active * GATES)
         for v in (0, 1):
-            hits[: active * GATES * STEPS, v] += np.bincount(cell[y == v], minlength=active * GATES * STEPS).astype(np.float32)
-        done += SEGMENT
+            hits[v, : active * STEPS] += np.bincount(cell[one == v], minlength=active * STEPS)
+        done += span
         active = int(np.searchsorted(-sizes[:active], -done, "left"))
     return out
 
 
+def by_length(batches, at: int):
+    """Slices of rows of like length, so that the rows of a slice are read in step."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        order = pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(at)), 0))
+        yield from kernel.slices([batch.take(order)], at, SLICE)
+
+
 def held_out(id):
     """Rows whose crc32 of the id as text is 1 modulo 5, and those without an id."""
     return F.coalesce(F.crc32(id.cast("string")) % 5 == 1, F.lit(True))
@@ -306,7 +317,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     order = np.argsort(common)
     common, times = common[order], times[order]
     top = np.argsort(-times, kind="stable")[: LEXICON + 1]
-    top = top[common[top] != END][:LEXICON]
+    top = top[(common[top] != END) & (times[top] >= LEAST)][:LEXICON]
     ends = int(times[common == END].sum()) if len(common) else 0
     lex = spark.sparkContext.broadcast(Lexicon(common[top], times[top], ends, n - ends - int(times[top].sum())))
     tables = spark.sparkContext.broadcast(stretched(table_counts(train, lex)))
@@ -340,11 +351,11 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rid[row[head]]), kernel.signed(h[head]), pa.array(np.diff(np.append(head, len(h))).astype(np.int32)), pa.array(lead.astype(np.int32))], names=["rid", "h", "tf", "lead"])
 
     def scored(batches):
-        for part, buf, offs in kernel.slices(batches, 3, SLICE):
+        for part, buf, offs in by_length(batches, 3):
             _, _, _, h, _, first = tokens(buf, offs)
             c = lookup(h)
             base = np.bincount(kernel.row_of(first), np.where(c >= 0, logs(np.maximum(c, 0)), 0), len(offs) - 1)
-            total = sum(cost(tables.value, s, START[k]) for k, s in enumerate(decisions(lex.value, buf, offs)))
+            total = sum(cost(tables.value, s, START[k], RATE[k]) for k, s in enumerate(decisions(lex.value, buf, offs)))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(first)), pa.array(kernel.per_row(c > 0, first)), pa.array(base), pa.array(total / np.log(10)), pa.array(np.diff(offs))], names=["id", "held_out", "rid", "n_tokens", "known", "base", "score", "n_bytes"])
 
     kind = dict(rows.dtypes)["id"]
