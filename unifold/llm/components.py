@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import storage
 
-FEW = 24  #: nodes of a key up to which all their pairs are formed
 SMALL = 1_000_000  #: nodes that may be broadcast (16 MB); beyond, a shuffled join
 
 
@@ -44,37 +43,56 @@ def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def linked(todo: DataFrame, attributes: tuple[str, ...], compare) -> tuple[DataFrame | None, DataFrame | None]:
+LEADERS = 2  #: rounds of comparisons with leaders
+
+
+def linked(todo: DataFrame, attributes: tuple[str, ...], possible, compare) -> tuple[DataFrame, DataFrame]:
     """(links, components) among nodes that share a key, without forming all pairs of large groups.
 
-    ``todo`` has a row (h, node, attributes) for each key of each node.
-    ``compare`` gets pairs (a, b, and each attribute of both: na, nb for n), with
-    a < b and maybe repeated, and returns the distinct ones that link, as a
-    written table. Keys of at most FEW nodes get all pairs across components.
-    Any other key names a leader, the node of the least hash, compared with its
-    other nodes; it goes on without the leader while its nodes are in several
-    components. So two nodes of a key are compared or connected.
+    ``todo`` has a row (h, node, attributes) for each key of each node. Pairs
+    have columns a, b, and each attribute of both (na and nb for n); ``possible``
+    is a condition on these that every link meets for at least one of its keys.
+    ``compare`` gets possible pairs, maybe repeated, and returns the distinct ones
+    that link, as a written table.
+
+    First every key names a leader, the node of the least hash, which is compared
+    with the key's other nodes and then leaves it; keys whose nodes are in one
+    component are done. This is repeated once. Then, under each key that is left,
+    the nodes outside its largest component are compared with all others in other
+    components. So two nodes of a key are compared, connected, or impossible, and
+    a group of copies costs rows in proportion to its size.
     """
     spark = todo.sparkSession
+    columns = ("node", "comp", *attributes)
+    have = todo.select("h", "node", F.col("node").alias("comp"), *attributes)
     links, comps = None, None
-    todo = todo.select("h", "node", *attributes, F.col("node").alias("comp"))
-    sides = [("a", "b"), *((x + "a", x + "b") for x in attributes)]
-    swap = F.col("a") > F.col("b")
-    while not todo.isEmpty():
-        top = F.min(F.struct(F.xxhash64("node"), "node", "comp", *attributes)).alias("top")
-        have = todo.join(todo.groupBy("h").agg(F.count(F.lit(1)).alias("m"), top), "h")
-        few = have.where(F.col("m") <= FEW)
-        one = few.select("h", F.col("node").alias("a"), F.col("comp").alias("ca"), *(F.col(x).alias(x + "a") for x in attributes))
-        two = few.select("h", F.col("node").alias("b"), F.col("comp").alias("cb"), *(F.col(x).alias(x + "b") for x in attributes))
-        near = one.join(two, "h").where("a < b and ca <> cb").select(*(x for s in sides for x in s))
-        rest = have.where((F.col("m") > FEW) & (F.col("node") != F.col("top.node")))
-        star = rest.where(F.col("comp") != F.col("top.comp")).select(F.col("node").alias("a"), F.col("top.node").alias("b"), *(y for x in attributes for y in (F.col(x).alias(x + "a"), F.col("top." + x).alias(x + "b"))))
-        pairs = near.union(star).select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for s in sides for x, y, z in ((s[0], s[1], s[0]), (s[1], s[0], s[1]))))
-        got = compare(pairs)
+
+    def pairs(one: DataFrame, two: DataFrame, joined) -> DataFrame:
+        x, y = ({"node": s, "comp": "c" + s} | {z: z + s for z in attributes} for s in "ab")
+        found = joined(one.select("h", *(F.col(c).alias(x[c]) for c in columns)), two.select("h", *(F.col(c).alias(y[c]) for c in columns)))
+        swap = F.col("a") > F.col("b")
+        sides = [("a", "b"), *((z + "a", z + "b") for z in attributes)]
+        return found.where((F.col("ca") != F.col("cb")) & possible).select(*(F.when(swap, F.col(v)).otherwise(F.col(u)).alias(w) for m, n in sides for u, v, w in ((m, n, m), (n, m, n))))
+
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            top = have.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
+            rest = have.join(top.select("h", F.col("node").alias("_l")), "h").where("node <> _l").drop("_l")
+            got = compare(pairs(rest, top, lambda x, y: x.join(y, "h")))
+        else:
+            size = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+            main = size.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("t")).select("h", F.col("t.comp").alias("_c"))
+            marked = have.join(main, "h").withColumn("minor", F.col("comp") != F.col("_c"))
+            minor, major = marked.where("minor").drop("minor"), marked.where("not minor").drop("minor")
+            # A pair of two minor nodes comes up once, one with a node of the main component once anyway.
+            got = compare(pairs(minor, major, lambda x, y: x.join(y, "h")).union(pairs(minor, minor, lambda x, y: x.join(y, "h").where("a < b"))))
         links = got if links is None else links.union(got)
         comps = components(links)
-        again = rest.select("h", "node", *attributes).join(comps, "node", "left").select("h", "node", *attributes, F.coalesce("comp", "node").alias("comp"))
-        alive = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-        todo = storage.written(again.join(alive, "h"), "shared-keys")
-        storage.release(spark)
+        if turn < LEADERS:
+            again = rest.drop("comp").join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
+            alive = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+            have = storage.written(again.join(alive, "h"), "shared-keys")
+            storage.release(spark)
+            if have.isEmpty():
+                break
     return links, comps

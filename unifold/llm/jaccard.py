@@ -8,12 +8,13 @@ common shingle (positional filter) and by how their shingles spread over 16
 ranges of hashes (suffix filter: what differs in the ranges' sizes differs in
 the sets); what is left is verified on the texts, once per pair.
 
-All pairs of a large group are never formed. In each round every prefix shingle
-names one leader, which is compared with the others that share it. Shingles
-whose classes have all become one component are done; the others go on without
-that leader, and all pairs across components are formed once few classes are
-left to a shingle. Every pair that shares a prefix shingle is thus compared, or
-is in one component already, so components are those of all links.
+All pairs of a group of copies are never formed. Every prefix shingle names one
+leader, which is compared with the other classes that share it; shingles whose
+classes have all become one component are done. After a second round of this,
+only classes outside the main component of a shingle are compared with the
+others under it. Every pair that shares a prefix shingle and passes the length and
+positional filters is thus compared, or is in one component already, so
+components are those of all links.
 
 Frequencies are counts of all documents' shingles in a fixed number of hash
 buckets (any order gives exact results, the counts only make it rare-first).
@@ -132,15 +133,16 @@ def tokens(df: DataFrame, counts: np.ndarray, gram: int, percent: int) -> DataFr
     return df.mapInArrow(run, "h long, node long, n int, i int")
 
 
+def possible(percent: int):
+    """Length and positional filters on a pair's common shingle: what comes from it on must be enough for both."""
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
+
+
 def filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, that pass the filters. ``pairs``: a, b, na, nb, ia, ib per common shingle."""
+    """Distinct candidate pairs (a, b), a < b, that pass the suffix filter. ``pairs``: a, b, na, nb per common shingle."""
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    first = (
-        pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-        .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
-    )
+    first = pairs.select("a", "b", "na", "nb").distinct()
     parts = classes.select("node", "parts")
     spread = first.join(parts.withColumnsRenamed({"node": "a", "parts": "pa"}), "a").join(parts.withColumnsRenamed({"node": "b", "parts": "pb"}), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
@@ -194,7 +196,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", gram:
         storage.drop(spark, texts)
         return got
 
-    links, comps = linked(todo, ("n", "i"), compare)
+    links, comps = linked(todo, ("n", "i"), possible(percent), compare)
     named = classes.select("node", "least")
     if comps is not None:
         least = comps.join(named, "node").groupBy("comp").agg(F.min("least").alias("component_id"))

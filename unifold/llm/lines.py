@@ -142,19 +142,19 @@ def alike(pairs: DataFrame, percent: int) -> DataFrame:
 
 def groups(found: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(node, comp) of every node that links with another one. ``found``: node, simhash, words; ``texts``: node, text."""
-    nodes = storage.written(found.groupBy("node").agg(F.first("simhash").alias("s"), F.first("words").alias("w")), "line-nodes")
-    keyed = nodes.select("node", "s", "w", F.explode(F.array(*block_keys("s", blocks_for(nodes.count())))).alias("h"))
+    nodes = storage.written(found.groupBy("node").agg(F.first("simhash").alias("s")), "line-nodes")
+    keyed = nodes.select("node", "s", F.explode(F.array(*block_keys("s", blocks_for(nodes.count())))).alias("h"))
     shared = keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
     todo = storage.written(keyed.join(shared, "h"), "line-keys")
     storage.release(texts.sparkSession)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        close = storage.written(pairs.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS).select("a", "b").distinct(), "line-pairs")
+        close = storage.written(pairs.select("a", "b").distinct(), "line-pairs")
         held = storage.written(pick(texts, close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "line-texts")
         both = close.join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
         return storage.written(alike(both.select("a", "b", "ta", "tb"), percent), "line-links")
 
-    return linked(todo, ("s", "w"), compare)[1]
+    return linked(todo, ("s",), F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS, compare)[1]
 
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
