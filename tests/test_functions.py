@@ -15,6 +15,11 @@ def test_tails():
     assert d.normal_quantile([0.025]) == pytest.approx([1.959963984540054], abs=1e-10)
 
 
+def test_tails_as_columns(spark):
+    r = spark.range(1).select(d.t_to_p(F.lit(2.0), F.lit(10)).alias("p"), d.t_to_z(F.lit(2.0), F.lit(1e6)).alias("z")).first()
+    assert r.p == pytest.approx(0.07338803477074043, abs=1e-12) and r.z == pytest.approx(2.0, abs=1e-4)
+
+
 def test_expression_rejects_what_it_does_not_know():
     with pytest.raises(ValueError):
         expressions.compiled("__import__(1)", {"a": None})

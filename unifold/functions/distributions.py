@@ -61,19 +61,29 @@ def normal_quantile(p) -> np.ndarray:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
-def t_to_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+def _udf(f):
+    """A Column function from an array function; UDFs are made when used, as they need a session."""
+
+    def column(*cols):
+        return F.pandas_udf(f, "double")(*cols)
+
+    column.__doc__ = f.__doc__
+    return column
+
+
+def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p of a t value."""
     return pd.Series(t_two_sided(t, dof))
 
 
-@F.pandas_udf("double")
-def f_to_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p of an F value."""
     return pd.Series(f_upper(f, d1, d2))
 
 
-@F.pandas_udf("double")
-def t_to_z(t: pd.Series, dof: pd.Series) -> pd.Series:
+def _t_z(t: pd.Series, dof: pd.Series) -> pd.Series:
     """The z value with the same tails."""
     return pd.Series(np.sign(t) * normal_quantile(t_two_sided(t, dof) / 2))
+
+
+t_to_p, f_to_p, t_to_z = _udf(_t_p), _udf(_f_p), _udf(_t_z)

@@ -37,14 +37,14 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-DAY = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
-HOUR = DAY * 24 + F.hour("ts")
 DAY_SQL = "date_diff('day', DATE '2024-01-01', ts::DATE)"
 HOUR_SQL = f"({DAY_SQL}*24+hour(ts))"
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", DAY.cast("int").alias("day"), HOUR.cast("int").alias("hr"), (HOUR * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double").alias("sec"))
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    hour = day * 24 + F.hour("ts")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", day.cast("int").alias("day"), hour.cast("int").alias("hr"), (hour * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double").alias("sec"))
 
 
 EVENTS_SQL = f"ev AS (SELECT event_id, ts, user_id, event_type, value, {DAY_SQL}::INT AS day, {HOUR_SQL}::INT AS hr, ({HOUR_SQL}*3600+minute(ts)*60+second(ts))::DOUBLE AS sec FROM events)"
