@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import kernel, storage
 
-LEXICON = 1 << 17
+LEXICON = 1 << 18
 LEAST = 6  #: training occurrences of a word of the lexicon: spellings are learned on the others
 COMMON = 300_000  #: words whose exact counts are broadcast (under 5 MB)
 BITS = 20  #: of a table's size
@@ -76,7 +76,7 @@ class Codes:
 
     def __init__(self, weights: np.ndarray):
         n = len(weights)
-        heap = [(int(w), i) for i, w in enumerate(weights)]
+        heap = list(zip(weights.tolist(), range(n), strict=True))
         heapq.heapify(heap)
         up, side, node = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8), n
         while len(heap) > 1:
@@ -85,18 +85,21 @@ class Codes:
             side[b[1]] = 1
             heapq.heappush(heap, (a[0] + b[0], node))
             node += 1
-        root, paths, bits, size = node - 1, [], [], np.zeros(n, np.int64)
-        for i in range(n):
-            p, s, k = [], [], i
-            while k != root:
-                s.append(side[k])
-                k = int(up[k])
-                p.append(k)
-            paths += p[::-1]
-            bits += s[::-1]
-            size[i] = len(p)
-        self.size, self.nodes, self.bits = size, np.array(paths, np.int32), np.array(bits, np.uint8)
-        self.at = np.cumsum(size) - size
+        root = node - 1
+        depth = np.zeros(2 * n, np.int32)
+        for k in range(root - 1, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        self.size = depth[:n].astype(np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.nodes, self.bits = np.empty(self.size.sum(), np.int32), np.empty(self.size.sum(), np.uint8)
+        # From the leaves up, all symbols at once.
+        here, own = np.arange(n), np.flatnonzero(self.size > 0)
+        for step in range(1, int(self.size.max(initial=0)) + 1):
+            own = own[self.size[own] >= step]
+            place = self.at[own] + self.size[own] - step
+            self.bits[place] = side[here[own]]
+            here[own] = up[here[own]]
+            self.nodes[place] = here[own]
 
 
 class Lexicon:
@@ -189,12 +192,23 @@ def table_counts(train: DataFrame, lex) -> np.ndarray:
     width = 2 * TABLES << BITS
 
     def count(batches):
-        sums = np.zeros((TABLES, 2 << BITS), np.int32)
-        for _, buf, offs in kernel.slices(batches, 0, SLICE):
-            tree, spelled = decisions(lex.value, buf, offs)
+        sums = np.zeros((TABLES, 2 << BITS), np.int64)
+        held: list[list[np.ndarray]] = [[] for _ in range(TABLES)]
+
+        def put():
             for t in range(TABLES):
-                sums[t] += np.bincount(np.concatenate([s[0][t] * 2 + s[1] for s in (tree, spelled)]), minlength=2 << BITS).astype(np.int32)
-        flat = sums.ravel()
+                if held[t]:
+                    sums[t] += np.bincount(np.concatenate(held[t]), minlength=2 << BITS)
+                    held[t].clear()
+
+        for k, (_, buf, offs) in enumerate(kernel.slices(batches, 0, SLICE)):
+            for slots, bit, _, _ in decisions(lex.value, buf, offs):
+                for t in range(TABLES):
+                    held[t].append(slots[t] * 2 + bit)
+            if k % 4 == 3:
+                put()
+        put()
+        flat = sums.astype(np.int32).ravel()
         for c in range(0, width // CHUNK, 64):
             ids = [k for k in range(c, c + 64) if flat[k * CHUNK : (k + 1) * CHUNK].any()]
             packed = [zlib.compress(flat[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in ids]
@@ -255,15 +269,15 @@ def cost(table: np.ndarray, stream, start: np.ndarray, rate: float) -> np.ndarra
         np.minimum(np.maximum(dot, -12, out=dot), 12, out=dot)
         p = 1 / (1 + np.exp(-dot))
         cell = doc * STEPS + ((dot + 12) * (STEPS / 24.001)).astype(np.int64)
-        no, yes = hits[0][cell], hits[1][cell]
+        all_, yes = hits[0][cell], hits[1][cell]
         # The map's estimate leans on the mix until it has seen some hundred decisions.
-        q = (p + (yes + 120 * p) / (no + yes + 120)) / 2
+        q = (p + (yes + 120 * p) / (all_ + 120)) / 2
         out[order[:active]] += np.bincount(doc, np.log(np.where(one, q, 1 - q)), active)
         wrong = (one - p) * np.float32(rate)
         for t in range(TABLES):
             weights[: active * GATES, t] += np.bincount(key, wrong * seen[:, t], active * GATES)
-        for v in (0, 1):
-            hits[v, : active * STEPS] += np.bincount(cell[one == v], minlength=active * STEPS)
+        hits[0, : active * STEPS] += np.bincount(cell, minlength=active * STEPS)
+        hits[1, : active * STEPS] += np.bincount(cell[one], minlength=active * STEPS)
         done += span
         active = int(np.searchsorted(-sizes[:active], -done, "left"))
     return out
