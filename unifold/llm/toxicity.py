@@ -14,7 +14,7 @@
 Empty inputs: null texts count as empty and get a score like any other. Rows
 without an id are never learned from and count as held out. Labels with null
 toxic are ignored. Repeated rows give repeated rows. Without toxic labels the
-lexicon is empty and every score is the model's base rate.
+lexicon is empty and every score is the model's base rate; without labels all are low.
 """
 
 from __future__ import annotations
@@ -163,6 +163,7 @@ class Automaton:
         fuzzy: list[bool] = [False]  # a fuzzy word goes through here
         for t, stem in terms:
             node = 0
+            fuzzy[0] |= not stem and len(t) >= FUZZY
             for c in t:
                 if code[c] not in child[node]:
                     child[node][code[c]] = len(child)
@@ -282,8 +283,11 @@ def inputs(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton's method with a ridge penalty (none on the constant)."""
+    """Logistic regression by Newton's method with a ridge penalty (none on the constant). Without rows, nothing is toxic."""
     w = np.zeros(x.shape[1])
+    if not len(x):
+        w[0] = -5.0
+        return w
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
