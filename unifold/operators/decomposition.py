@@ -82,7 +82,7 @@ def kmeans(df: DataFrame, array: str, width: int, k: int, rounds: int = 20, seed
                 own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1) if len(x) * len(c) * width < 4_000_000 else np.array([((c - v) ** 2).sum(1).argmin() for v in x])
                 n += np.bincount(own, minlength=len(c))
                 np.add.at(s, own, x)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(c))), pa.array(n), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["k", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array(n), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["k", "n", "s"])
 
         sums = df.select(array).mapInArrow(run, "k int, n double, s array<double>").select("k", "n", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
         new = centres.copy()
