@@ -13,27 +13,37 @@ SMALL = 1_000_000  #: nodes that may be broadcast (16 MB); beyond, a shuffled jo
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the least node that each node of ``links`` reaches.
 
-    Each round, every node takes the least label among its neighbours' (summed
-    before the shuffle, so hubs are no bottleneck) and then its label's label.
-    Rounds grow with the logarithm of the longest path in practice. Every round
-    is a written table. Nulls and self-links are ignored; an empty table gives
-    an empty one.
+    Each round, every node joins the neighbour of least hash (or stays, if that is
+    its own), goes on to where that one went, and links are redrawn between what
+    nodes have joined; the rest is the same for the smaller table that is left. As
+    the order is random, chains are short, and rounds grow with the logarithm of
+    the nodes. Links are joined with labels once, then they are few; minima are
+    taken before the shuffle, so hubs are no bottleneck. Every round is a written
+    table. Nulls and self-links are ignored; an empty table gives an empty one.
     """
     spark = links.sparkSession
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    edges = storage.written(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = storage.written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("comp").alias("j"))
-        after = storage.written(step.join(jump, "c", "left").select("node", "old", F.least("c", "j").alias("comp")), "labels")
-        done = after.where("old <> comp").isEmpty()
-        storage.drop(spark, labels)
-        labels = after.select("node", "comp")
-        if done:
-            storage.drop(spark, edges)
-            return labels
+    x, y = F.col(a).alias("a"), F.col(b).alias("b")
+    edges = storage.written(links.select(x, y).where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    rank = lambda c: F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("v"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        to = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["v"].alias("c"))
+        to = storage.written(to.select(F.col("a").alias("node"), "c"), "joined")
+        for _ in range(2):
+            to = storage.written(to.join(to.select(F.col("node").alias("c"), F.col("c").alias("_n")), "c").select("node", F.col("_n").alias("c")), "joined")
+        if labels is None:
+            labels = to.select("node", F.col("c").alias("comp"))
+        else:
+            labels = storage.written(labels.join(to.withColumnsRenamed({"node": "comp"}), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")), "labels")
+        left, right = to.select(F.col("node").alias("a"), F.col("c").alias("_a")), to.select(F.col("node").alias("b"), F.col("c").alias("_b"))
+        redrawn = edges.join(left, "a").join(right, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        before, edges = edges, storage.written(redrawn, "edges")
+        storage.drop(spark, before)
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    least = labels.groupBy("comp").agg(F.min("node").alias("_m"))
+    return storage.written(labels.join(least, "comp").select("node", F.least("_m", "comp").alias("comp")), "components")
 
 
 def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,7 +97,8 @@ def linked(todo: DataFrame, attributes: tuple[str, ...], possible, compare) -> t
             # A pair of two minor nodes comes up once, one with a node of the main component once anyway.
             got = compare(pairs(minor, major, lambda x, y: x.join(y, "h")).union(pairs(minor, minor, lambda x, y: x.join(y, "h").where("a < b"))))
         links = got if links is None else links.union(got)
-        comps = components(links)
+        # What is known already counts as one link for each node.
+        comps = components(got if comps is None else got.union(comps.select("node", "comp")))
         if turn < LEADERS:
             again = rest.drop("comp").join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
             alive = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
