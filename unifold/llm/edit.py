@@ -10,17 +10,36 @@ BATCH = 512
 def distances(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Levenshtein distance of each pair of rows, exact where it is at most ``most``, else larger than that.
 
-    Rows are runs of symbols (any integers). Pairs go in batches of like length,
-    one table row at a time, over a band as wide as the bound needs.
+    Rows are runs of symbols (any integers). What a pair shares at both ends is
+    left out. The rest goes in batches of like length, one table row at a time,
+    over a narrow band first; only pairs whose distance goes beyond it get one
+    four times as wide. So the work follows the distance, not the bound.
     """
-    la, lb = np.diff(a_first), np.diff(b_first)
-    out = np.maximum(la, lb).astype(np.int64)
-    todo = np.flatnonzero(np.abs(la - lb) <= most)
-    out[np.abs(la - lb) > most] += most[np.abs(la - lb) > most] + 1
-    todo = todo[np.lexsort((most[todo], la[todo]))]
-    for at in range(0, len(todo), BATCH):
-        k = todo[at : at + BATCH]
-        out[k] = _batch(a, a_first[k], la[k], b, b_first[k], lb[k], int(most[k].max()))
+    fa, fb = a_first[:-1].astype(np.int64), b_first[:-1].astype(np.int64)
+    la, lb = np.diff(a_first).astype(np.int64), np.diff(b_first).astype(np.int64)
+    for k in range(len(la)):
+        n = min(la[k], lb[k])
+        x, y = a[fa[k] : fa[k] + la[k]], b[fb[k] : fb[k] + lb[k]]
+        same = x[:n] == y[:n]
+        head = n if same.all() else int(same.argmin())
+        n -= head
+        same = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
+        tail = n if same.all() else int(same.argmin())
+        fa[k], fb[k], la[k], lb[k] = fa[k] + head, fb[k] + head, la[k] - head - tail, lb[k] - head - tail
+    apart = np.abs(la - lb)
+    out = np.where(apart > most, np.maximum(apart, most + 1), np.maximum(la, lb)).astype(np.int64)
+    todo = np.flatnonzero((apart <= most) & (la > 0) & (lb > 0))
+    band = 8
+    while len(todo):
+        todo = todo[np.argsort(la[todo], kind="stable")]
+        limit = np.minimum(most[todo], band)
+        near = apart[todo] <= limit
+        out[todo[~near]] = band + 1
+        for at in range(0, int(near.sum()), BATCH):
+            k = todo[near][at : at + BATCH]
+            out[k] = _batch(a, fa[k], la[k], b, fb[k], lb[k], int(np.minimum(most[k], band).max()))
+        todo = todo[(out[todo] > limit) & (limit < most[todo])]
+        band *= 4
     return out
 
 

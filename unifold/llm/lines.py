@@ -2,7 +2,7 @@
 
 Lines are compared in normal form: A-Z lower-cased, ASCII symbols as blanks, words
 joined by one space. Lines of fewer than ``least_words`` words are left alone.
-Equal lines are one node; nodes get a 64-bit SimHash of their words. Two nodes
+Equal lines are one node; nodes get a 64-bit SimHash of their distinct words. Two nodes
 whose hashes differ in at most ``BITS`` bits agree on some ``blocks - BITS`` of
 ``blocks`` equal parts, so nodes are joined on every such choice of parts. More
 lines get more parts, and so longer keys: chance meetings of unlike lines stay
@@ -58,7 +58,17 @@ def normal_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The 64-bit SimHash of each run of word hashes; no run is empty."""
+    """The 64-bit SimHash of each run's distinct word hashes; no run is empty.
+
+    Each word counts once: in long lines the commonest words would else decide,
+    and all long lines of a language would look alike.
+    """
+    row = kernel.row_of(first)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, first = hashes[new], np.searchsorted(row[new], np.arange(len(first)))
     out = np.zeros(len(first) - 1, np.uint64)
     for lo in range(0, len(out), 4096):
         hi = min(lo + 4096, len(out))
