@@ -63,36 +63,37 @@ def sequence_length(n: int, percent: int) -> tuple[int, int]:
     return 1, 0
 
 
-def walk(words: np.ndarray, first: np.ndarray, size: int, steps: np.ndarray, seed: int) -> np.ndarray:
-    """The words on which CGK walks over ``words[f : f + size]`` stand at the given steps (0 past the end)."""
-    place = np.zeros(len(first), np.int64)
-    out = np.zeros((len(steps), len(first)), np.uint64)
-    k = 0
-    for j in range(int(steps[-1]) + 1):
-        on = place < size
-        here = np.where(on, words[np.minimum(first + place, len(words) - 1)], np.uint64(0))
-        while k < len(steps) and steps[k] == j:
-            out[k] = here
-            k += 1
-        salt = np.uint64((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64)
-        place += (kernel.mix(here ^ salt) & np.uint64(1)).astype(np.int64)
+def walk(words: np.ndarray, first: np.ndarray, size: int, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The words on which CGK walks over ``words[f : f + size]`` stand (0 past the end).
+
+    One walk for each seed, looked at at its own increasing steps:
+    (seeds, steps of each, windows).
+    """
+    place = np.zeros((len(seeds), len(first)), np.int64)
+    out = np.zeros((len(seeds), steps.shape[1], len(first)), np.uint64)
+    for j in range(int(steps.max()) + 1):
+        here = np.where(place < size, words[np.minimum(first[None] + place, len(words) - 1)], np.uint64(0))
+        who, which = np.nonzero(steps == j)
+        out[who, which] = here[who]
+        with np.errstate(over="ignore"):
+            salt = (seeds.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)
+        place += (kernel.mix(here ^ salt[:, None]) & np.uint64(1)).astype(np.int64)
     return out
 
 
-def samples(size: int, repeats: int) -> list[np.ndarray]:
+def samples(size: int, repeats: int) -> np.ndarray:
     """The steps that each repetition samples, the same for windows and items."""
     rng = np.random.default_rng(size)
-    return [np.sort(rng.choice(STEPS * size, min(SAMPLED, STEPS * size), replace=False)) for _ in range(repeats)]
+    return np.stack([np.sort(rng.choice(STEPS * size, min(SAMPLED, STEPS * size), replace=False)) for _ in range(repeats)])
 
 
-def keys(words: np.ndarray, first: np.ndarray, size: int, repeats: int):
-    """One 64-bit key of each window for each repetition."""
-    for r, steps in enumerate(samples(size, repeats)):
-        got = walk(words, first, size, steps, r)
-        key = np.full(len(first), np.uint64(size * 4096 + r))
-        for row in got:
-            key = kernel.mix(key ^ row)
-        yield key
+def keys(words: np.ndarray, first: np.ndarray, size: int, repeats: int) -> np.ndarray:
+    """One 64-bit key of each window for each repetition: (repeats, windows)."""
+    got = walk(words, first, size, samples(size, repeats), np.arange(repeats))
+    key = np.repeat(np.uint64(size * 4096) + np.arange(repeats).astype(np.uint64)[:, None], len(first), 1)
+    for k in range(got.shape[1]):
+        key = kernel.mix(key ^ got[:, k])
+    return key
 
 
 def repetitions(items: list[np.ndarray], percent: int, target: float = TARGET, trials: int = 200) -> int:
@@ -116,8 +117,7 @@ def repetitions(items: list[np.ndarray], percent: int, target: float = TARGET, t
                 del y[i]
         y = np.array((y + [int(v) for v in rng.integers(1, 2**62, n)])[:n], np.uint64)
         both = np.concatenate([x, y])
-        steps = np.arange(STEPS * n)
-        a, b = walk(both, np.array([0, n]), n, steps, t).T
+        a, b = walk(both, np.array([0, n]), n, np.arange(STEPS * n)[None], np.array([t]))[0].T
         agree.append(float((a == b).mean()) ** SAMPLED)
     rate = max(float(np.quantile(agree, 0.1)), 0.02)
     return int(np.clip(np.ceil(np.log(1 - target) / np.log(1 - rate)), 4, 64))
@@ -135,12 +135,21 @@ class Items:
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.plan = {}  # by length: q, least count
-        shared: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
-        for n in np.unique(self.sizes).tolist():
-            q, least = self.plan[n] = sequence_length(n, percent)
+        shared: dict[int, list[tuple[np.ndarray, int]]] = {1: [], 2: [], 3: []}
+        for c, n in enumerate(np.unique(self.sizes).tolist()):
+            q, least = sequence_length(n, percent)
+            self.plan[n] = q, least, np.uint64(1 << c % 64)
             for k in np.flatnonzero(self.sizes == n):
-                shared[q].append(kernel.gram_hashes(words[k], np.arange(n - q + 1), q))
-        self.shared = {q: np.unique(np.concatenate(x)) for q, x in shared.items() if x}
+                shared[q].append((kernel.gram_hashes(words[k], np.arange(n - q + 1), q), 1 << c % 64))
+        # Each sequence with the lengths of its items, one bit for a length (bits are shared beyond 64 lengths).
+        self.shared = {}
+        for q, x in shared.items():
+            if x:
+                h, bit = np.concatenate([y for y, _ in x]), np.concatenate([np.full(len(y), b, np.uint64) for y, b in x])
+                known, inverse = np.unique(h, return_inverse=True)
+                bits = np.zeros(len(known), np.uint64)
+                np.bitwise_or.at(bits, inverse, bit)
+                self.shared[q] = known, bits
         self.table = {}
         for n in self.plan:
             own = np.flatnonzero(self.sizes == n)
@@ -151,24 +160,30 @@ class Items:
     def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, item, distance) of every contaminated window that is found."""
         hits = {}
-        for q, known in self.shared.items():
+        for q, (known, bits) in self.shared.items():
             h = kernel.gram_hashes(words, np.arange(max(len(words) - q + 1, 0)), q)
-            seen = np.zeros(len(words) + 1, np.int64)
-            if len(h):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                np.cumsum(known[at] == h, out=seen[1 : len(h) + 1])
-                seen[len(h) + 1 :] = seen[len(h)]
-            hits[q] = seen
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            place = np.flatnonzero(known[at] == h)
+            hits[q] = place, bits[at[place]]
         row = kernel.row_of(first)
         found = []
-        for n, (q, least) in self.plan.items():
+        for n, (q, least, bit) in self.plan.items():
             last = len(words) - n + 1
             if last <= 0:
                 continue
             begin = np.arange(last)
             if least:
-                count = hits[q][n - q + 1 : n - q + 1 + last] - hits[q][:last]
-                begin = np.flatnonzero(count >= least)
+                place, bits = hits[q]
+                own = place[(bits & bit) != 0]
+                if len(own) < least:
+                    continue
+                # Windows around each run of ``least`` hits that fits into one.
+                low, high = own[least - 1 :] - (n - q), own[: len(own) - least + 1]
+                fits = low <= high
+                edge = np.zeros(last + 1, np.int64)
+                np.add.at(edge, np.clip(low[fits], 0, last), 1)
+                np.add.at(edge, np.clip(high[fits] + 1, 0, last), -1)
+                begin = np.flatnonzero(np.cumsum(edge[:-1]) > 0) if fits.any() else begin[:0]
             begin = begin[row[begin] == row[begin + n - 1]] if len(begin) else begin
             if not len(begin):
                 continue
@@ -186,7 +201,13 @@ class Items:
             for lo in range(0, len(both), 20_000):
                 w, i = window[lo : lo + 20_000], item[lo : lo + 20_000]
                 spread = np.arange(n)
-                a, b = words[w[:, None] + spread].ravel(), self.words[self.first[i][:, None] + spread].ravel()
+                a, b = words[w[:, None] + spread], self.words[self.first[i][:, None] + spread]
+                # Words of the window that the item lacks all need an edit.
+                close = np.zeros(len(w), bool)
+                for at in range(0, len(w), 2000):
+                    x, y = a[at : at + 2000], b[at : at + 2000]
+                    close[at : at + 2000] = (x[:, :, None] == y[:, None]).any(2).sum(1) >= n - edits(n, self.percent)
+                w, i, a, b = w[close], i[close], a[close].ravel(), b[close].ravel()
                 steps = np.arange(len(w) + 1) * n
                 d = edit.distances(a, steps, b, steps, np.full(len(w), edits(n, self.percent)))
                 ok = d <= edits(n, self.percent)
