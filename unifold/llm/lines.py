@@ -2,14 +2,15 @@
 
 Lines are compared in normal form: A-Z lower-cased, ASCII symbols as blanks, words
 joined by one space. Lines of fewer than ``least_words`` words are left alone.
-Equal lines are one node; nodes get a 64-bit SimHash of their distinct words. Two nodes
-whose hashes differ in at most ``BITS`` bits agree on some ``blocks - BITS`` of
-``blocks`` equal parts, so nodes are joined on every such choice of parts. More
-lines get more parts, and so longer keys: chance meetings of unlike lines stay
-rare at any size, and what is found is the same. Candidates that differ in at
-most ``BITS`` bits are verified by edit similarity of their normal forms in code
-points. Of every connected group the first occurrence (least id, then line) is
-kept, and all others are cut from their texts.
+Equal lines are one node; nodes get a 64-bit SimHash of their distinct words. Lines
+of edit similarity 0.8 are often 10 bits and more apart, too far for blocks of the
+hash as keys. So nodes meet on word sequences that edits leave alone: short
+lines on what is left without any one word, others on the ``SMALLEST`` of their
+3- or 4-word sequences by hash (two kinds of keys where these ranges of
+length overlap). Of those that meet, the ones at most ``BITS`` bits apart are
+verified by edit similarity of their normal forms in code points. Of every
+connected group the first occurrence (least id, then line) is kept, and all
+others are cut from their texts.
 
 Empty inputs: null and empty texts have no lines with words. Rows with equal id
 and equal text count as one document and get the same result. Null ids come last.
@@ -17,8 +18,6 @@ and equal text count as one document and get the same result. Null ids come last
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,10 @@ from pyspark.sql import functions as F
 from . import edit, kernel, storage
 from .components import linked, pick
 
-BITS = 3
+BITS = 20
+SMALLEST = 12  #: keys of a line of each kind
+WHOLE = 10  #: words of a line that meets others without one of its words, at most
+SEQUENCES = (3, 8, 18), (4, 14, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
 PERCENT = 80
 LEAST_WORDS = 5
 WORDY = np.zeros(256, bool)
@@ -80,8 +82,33 @@ def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all keys of each run of word hashes; runs with a common key are compared."""
+    size, out = np.diff(first), []
+    for n in np.unique(size[size <= WHOLE]).tolist():
+        own = np.flatnonzero(size == n)
+        words = hashes[first[own][:, None] + np.arange(n)]
+        out.append((own, kernel.gram_hashes(words.ravel(), np.arange(len(own)) * n, n)))
+        for k in range(n if n > 1 else 0):
+            rest = np.delete(words, k, axis=1).ravel()
+            out.append((own, kernel.gram_hashes(rest, np.arange(len(own)) * (n - 1), n - 1)))
+    for length, least, most in SEQUENCES:
+        own = np.flatnonzero((size >= least) & (size <= most))
+        count = size[own] - length + 1
+        stop = np.cumsum(count)
+        row = np.repeat(np.arange(len(own)), count)
+        grams = kernel.gram_hashes(hashes, np.arange(len(row)) + (first[own] - (stop - count))[row], length)
+        order = np.lexsort((grams, row))
+        place = np.arange(len(row)) - (stop - count)[row]
+        taken = order[place < SMALLEST]
+        out.append((own[row[taken]], grams[taken]))
+    line, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order]
+
+
 def lines_of(df: DataFrame, least_words: int, with_text: bool = False) -> DataFrame:
-    """Rows (rid, id, line, node, simhash, words) of each line that is compared, or (node, text) in normal form."""
+    """Rows (rid, id, line, node, simhash, keys) of each line that is compared, or (node, text) in normal form."""
 
     def run(batches):
         for rows, buf, offs in kernel.slices(batches, 2):
@@ -102,31 +129,14 @@ def lines_of(df: DataFrame, least_words: int, with_text: bool = False) -> DataFr
                 continue
             member = np.repeat(size >= least_words, size)
             sim = simhash(hashes[member], np.concatenate([[0], np.cumsum(size[keep])])) if len(keep) else np.zeros(0, np.uint64)
+            owner, key = line_keys(hashes[member], np.concatenate([[0], np.cumsum(size[keep])]))
+            each = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(keep) + 1)).astype(np.int32)), kernel.signed(key))
             number = np.arange(len(row)) - np.searchsorted(row, row)
             take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number[keep].astype(np.int32)), kernel.signed(node), kernel.signed(sim), pa.array(size[keep].astype(np.int32))], names=["rid", "id", "line", "node", "simhash", "words"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number[keep].astype(np.int32)), kernel.signed(node), kernel.signed(sim), each], names=["rid", "id", "line", "node", "simhash", "keys"])
 
     kind = dict(df.dtypes)["id"]
-    return df.mapInArrow(run, "node long, text string" if with_text else f"rid long, id {kind}, line int, node long, simhash long, words int")
-
-
-def block_keys(simhash: str, blocks: int) -> list:
-    """One key for each choice of ``blocks - BITS`` of the hash's parts."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    out = []
-    for chosen in combinations(range(blocks), blocks - BITS):
-        mask = sum(masks[k] for k in chosen)
-        out.append(F.xxhash64(F.lit(",".join(map(str, chosen))), F.col(simhash).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return out
-
-
-def blocks_for(n: int) -> int:
-    """Parts of the hash, so that keys have a few bits more than it takes to number ``n`` lines."""
-    for blocks in range(BITS + 1, 9):
-        if 64 * (blocks - BITS) // blocks >= max(n, 1).bit_length() + 4:
-            return blocks
-    return 8
+    return df.mapInArrow(run, "node long, text string" if with_text else f"rid long, id {kind}, line int, node long, simhash long, keys array<long>")
 
 
 def alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -151,9 +161,9 @@ def alike(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(found: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, comp) of every node that links with another one. ``found``: node, simhash, words; ``texts``: node, text."""
-    nodes = storage.written(found.groupBy("node").agg(F.first("simhash").alias("s")), "line-nodes")
-    keyed = nodes.select("node", "s", F.explode(F.array(*block_keys("s", blocks_for(nodes.count())))).alias("h"))
+    """(node, comp) of every node that links with another one. ``found``: node, simhash, keys; ``texts``: node, text."""
+    nodes = storage.written(found.groupBy("node").agg(F.first("simhash").alias("s"), F.first("keys").alias("keys")), "line-nodes")
+    keyed = nodes.select("node", "s", F.explode(F.array_distinct("keys")).alias("h"))
     shared = keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
     todo = storage.written(keyed.join(shared, "h"), "line-keys")
     storage.release(texts.sparkSession)
