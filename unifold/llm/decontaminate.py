@@ -2,12 +2,14 @@
 
 Texts and items are compared as words in normal form (A-Z lower-cased, ASCII
 symbols as blanks). For each item length there are windows of that many words at
-every place of every document. A window is contaminated by an item if their edit
-similarity, 1 - distance / length in words, is at least ``percent``.
+every place of every document, cut short at the text's end. A window is contaminated by
+an item if a passage there, of any length, has an edit similarity, 1 - distance /
+length of the item in words, of at least ``percent``.
 
 1. Windows that cannot be similar are passed over by an exact bound: with k
    edits allowed, an item of n words keeps at least n - q + 1 - k q of its
-   q-word sequences, so a window with fewer sequences of the item set is out.
+   q-word sequences, in a passage of up to n + k words; where there are fewer
+   sequences of the item set, no window begins.
 2. Windows and items are embedded by CGK random walks: at each step the walk
    shows the word it stands on, and a random bit of step and word says whether
    it moves on. Edit distance becomes Hamming distance of the walks.
@@ -15,7 +17,8 @@ similarity, 1 - distance / length in words, is at least ``percent``.
    items of one length that agree on the sample are candidates. The number of
    repetitions follows from the target recall, by the rate at which edited items
    (at the threshold) agree with themselves.
-4. Candidates are verified by exact edit distance.
+4. Candidates are verified by exact edit distance with free ends, against the
+   window and k words of the text on both sides of it.
 
 The benchmark is a stated query set: it is read in blocks of bounded size, each
 broadcast and run against all documents. There is no shuffle of texts.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit, kernel, storage
+from . import kernel, storage
 from .lines import WORDY
 
 PERCENT = 80
@@ -63,7 +66,7 @@ def sequence_length(n: int, percent: int) -> tuple[int, int]:
     return 1, 0
 
 
-def walk(words: np.ndarray, first: np.ndarray, size: int, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def walk(words: np.ndarray, first: np.ndarray, size: int | np.ndarray, steps: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The words on which CGK walks over ``words[f : f + size]`` stand (0 past the end).
 
     One walk for each seed, looked at at its own increasing steps:
@@ -87,15 +90,29 @@ def samples(size: int, repeats: int) -> np.ndarray:
     return np.stack([np.sort(rng.choice(STEPS * size, min(SAMPLED, STEPS * size), replace=False)) for _ in range(repeats)])
 
 
-def keys(words: np.ndarray, first: np.ndarray, size: int, repeats: int) -> np.ndarray:
-    """One 64-bit key of each window for each repetition: (repeats, windows)."""
-    got = walk(words, first, size, samples(size, repeats), np.arange(repeats))
+def keys(words: np.ndarray, first: np.ndarray, size: int, repeats: int, left: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit key of each window for each repetition: (repeats, windows). ``left``: words from each first on to its text's end."""
+    got = walk(words, first, size if left is None else np.minimum(size, left), samples(size, repeats), np.arange(repeats))
     key = np.repeat(np.uint64(size * 4096) + np.arange(repeats).astype(np.uint64)[:, None], len(first), 1)
     for k in range(got.shape[1]):
         key = kernel.mix(key ^ got[:, k])
     return key
 
 
+def free_distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, start) of the passage of each text that is least edits from the item, then the first such; rows of words."""
+    unit = np.int64(texts.shape[1] + 1)
+    ramp = np.arange(texts.shape[1] + 1) * unit
+    # Distances and starts as one number: distance * unit + start.
+    row = np.tile(np.arange(texts.shape[1] + 1, dtype=np.int64), (len(texts), 1))
+    for k in range(items.shape[1]):
+        best = row + unit
+        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + unit * (texts != items[:, k : k + 1]))
+        row = np.minimum.accumulate(best - ramp, axis=1) + ramp
+    low = row.min(1)
+    return low // unit, low % unit
+
+
 def repetitions(items: list[np.ndarray], percent: int, target: float = TARGET, trials: int = 200) -> int:
     """How many repetitions reach the target recall for items edited as much as the threshold allows."""
     rng = np.random.default_rng(7)
@@ -168,9 +185,7 @@ class Items:
         row = kernel.row_of(first)
         found = []
         for n, (q, least, bit) in self.plan.items():
-            last = len(words) - n + 1
-            if last <= 0:
-                continue
+            most, last = edits(n, self.percent), len(words)
             begin = np.arange(last)
             if least:
                 place, bits = hits[q]
@@ -178,17 +193,18 @@ class Items:
                 if len(own) < least:
                     continue
                 # Windows around each run of ``least`` hits that fits into one.
-                low, high = own[least - 1 :] - (n - q), own[: len(own) - least + 1]
+                low, high = own[least - 1 :] - (n + most - q), own[: len(own) - least + 1]
                 fits = low <= high
                 edge = np.zeros(last + 1, np.int64)
                 np.add.at(edge, np.clip(low[fits], 0, last), 1)
                 np.add.at(edge, np.clip(high[fits] + 1, 0, last), -1)
                 begin = np.flatnonzero(np.cumsum(edge[:-1]) > 0) if fits.any() else begin[:0]
-            begin = begin[row[begin] == row[begin + n - 1]] if len(begin) else begin
+            left = first[row[begin] + 1] - begin
+            begin, left = begin[left >= n - most], left[left >= n - most]
             if not len(begin):
                 continue
             pairs = []
-            for r, key in enumerate(keys(words, begin, n, self.repeats)):
+            for r, key in enumerate(keys(words, begin, n, self.repeats, left)):
                 known, own = self.table[n, r]
                 lo, hi = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
                 some = np.flatnonzero(hi > lo)
@@ -198,28 +214,29 @@ class Items:
                 pairs.append(np.repeat(some, size) * len(self.ids) + item)
             both = np.unique(np.concatenate(pairs))
             window, item = begin[both // len(self.ids)], both % len(self.ids)
-            for lo in range(0, len(both), 20_000):
-                w, i = window[lo : lo + 20_000], item[lo : lo + 20_000]
-                spread = np.arange(n)
-                a, b = words[w[:, None] + spread], self.words[self.first[i][:, None] + spread]
-                # Words of the window that the item lacks all need an edit.
-                close = np.zeros(len(w), bool)
-                for at in range(0, len(w), 2000):
-                    x, y = a[at : at + 2000], b[at : at + 2000]
-                    close[at : at + 2000] = (x[:, :, None] == y[:, None]).any(2).sum(1) >= n - edits(n, self.percent)
-                w, i, a, b = w[close], i[close], a[close].ravel(), b[close].ravel()
-                steps = np.arange(len(w) + 1) * n
-                d = edit.distances(a, steps, b, steps, np.full(len(w), edits(n, self.percent)))
-                ok = d <= edits(n, self.percent)
-                found.append(np.stack([row[w[ok]], w[ok] - first[row[w[ok]]], i[ok], d[ok]]))
+            around = np.arange(-most, n + most)
+            step = max(1, 10_000_000 // (n * len(around)))
+            for lo in range(0, len(both), step):
+                w, i = window[lo : lo + step], item[lo : lo + step]
+                at = w[:, None] + around
+                inside = (at >= first[row[w]][:, None]) & (at < first[row[w] + 1][:, None])
+                a = np.where(inside, words[np.clip(at, 0, len(words) - 1)], np.uint64(0))
+                b = self.words[self.first[i][:, None] + np.arange(n)]
+                # Words of the item that the text around the window lacks all need an edit.
+                close = (b[:, :, None] == a[:, None]).any(2).sum(1) >= n - most
+                w, i = w[close], i[close]
+                d, start = free_distances(b[close], a[close])
+                ok = d <= most
+                place = np.maximum(w - most + start - first[row[w]], 0)
+                found.append(np.stack([row[w[ok]], place[ok], i[ok], d[ok]]))
         return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, item, start, n_words, distance, similarity): the best window for each document and item that match.
+    """(id, item, start, n_words, distance, similarity): the best passage for each document and item that match.
 
-    ``start`` is the window's first word, counted in normal form; best is the
-    least distance, then the least start.
+    ``start`` is the passage's first word, counted in normal form, ``n_words`` the
+    item's length; best is the least distance, then the least start.
     """
     spark = df.sparkSession
     storage.bounded_batches(spark)
