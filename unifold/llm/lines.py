@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import edit, kernel, storage
 from .components import linked, pick
 
-BITS = 20
+BITS = 16
 SMALLEST = 12  #: keys of a line of each kind
 WHOLE = 10  #: words of a line that meets others without one of its words, at most
 SEQUENCES = (3, 8, 18), (4, 14, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
