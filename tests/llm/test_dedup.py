@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from unifold.llm import components, edit, jaccard, lines, substring
+from unifold.llm import components, jaccard, lines, substring
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,17 +171,6 @@ def test_lines_odd(spark, odd_documents):
     assert lines.dedup(odd_documents.limit(0)).count() == 0
 
 
-def test_edit_distances():
-    rng = np.random.default_rng(1)
-    a = [rng.integers(0, 3, int(rng.integers(0, 20))) for _ in range(300)]
-    b = [rng.integers(0, 3, int(rng.integers(0, 20))) for _ in range(300)]
-    most = rng.integers(0, 12, 300)
-    got = edit.distances(np.concatenate(a), np.cumsum([0, *map(len, a)]), np.concatenate(b), np.cumsum([0, *map(len, b)]), most)
-    for x, y, m, d in zip(a, b, most, got, strict=True):
-        want = levenshtein(x.tolist(), y.tolist())
-        assert d == want if want <= m else d > m
-
-
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (7, 7), (None, 3), (20, 15), (15, 11)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

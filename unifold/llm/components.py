@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +33,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         to = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["v"].alias("c"))
         to = storage.written(to.select(F.col("a").alias("node"), "c"), "joined")
         for _ in range(2):
-            to = storage.written(to.join(to.select(F.col("node").alias("c"), F.col("c").alias("_n")), "c").select("node", F.col("_n").alias("c")), "joined")
+            gone, to = to, storage.written(to.join(to.select(F.col("node").alias("c"), F.col("c").alias("_n")), "c").select("node", F.col("_n").alias("c")), "joined")
+            storage.drop(spark, gone)
+        left, right = to.select(F.col("node").alias("a"), F.col("c").alias("_a")), to.select(F.col("node").alias("b"), F.col("c").alias("_b"))
+        redrawn = edges.join(left, "a").join(right, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+        gone, edges = edges, storage.written(redrawn, "edges")
+        storage.drop(spark, gone)
         if labels is None:
             labels = to.select("node", F.col("c").alias("comp"))
         else:
-            labels = storage.written(labels.join(to.withColumnsRenamed({"node": "comp"}), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")), "labels")
-        left, right = to.select(F.col("node").alias("a"), F.col("c").alias("_a")), to.select(F.col("node").alias("b"), F.col("c").alias("_b"))
-        redrawn = edges.join(left, "a").join(right, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-        before, edges = edges, storage.written(redrawn, "edges")
-        storage.drop(spark, before)
+            gone, labels = labels, storage.written(labels.join(to.withColumnsRenamed({"node": "comp"}), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")), "labels")
+            storage.drop(spark, gone)
+            storage.drop(spark, to)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("node").alias("_m"))
-    return storage.written(labels.join(least, "comp").select("node", F.least("_m", "comp").alias("comp")), "components")
+    out = storage.written(labels.join(least, "comp").select("node", F.least("_m", "comp").alias("comp")), "components")
+    storage.drop(spark, labels)
+    return out
 
 
 def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,57 +60,77 @@ def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-LEADERS = 2  #: rounds of comparisons with leaders
+ROUNDS = "one", "one", "all", "rest"  #: who is compared with whom, see :func:`linked`
 
 
-def linked(todo: DataFrame, attributes: tuple[str, ...], possible, compare) -> tuple[DataFrame, DataFrame]:
+def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, compare) -> tuple[DataFrame, DataFrame]:
     """(links, components) among nodes that share a key, without forming all pairs of large groups.
 
-    ``todo`` has a row (h, node, attributes) for each key of each node. Pairs
-    have columns a, b, and each attribute of both (na and nb for n); ``possible``
-    is a condition on these that every link meets for at least one of its keys.
-    ``compare`` gets possible pairs, maybe repeated, and returns the distinct ones
-    that link, as a written table.
-
-    First every key names a leader, the node of the least hash, which is compared
-    with the key's other nodes and then leaves it; keys whose nodes are in one
-    component are done. This is repeated once. Then, under each key that is left,
-    the nodes outside its largest component are compared with all others in other
-    components. So two nodes of a key are compared, connected, or impossible, and
-    a group of copies costs rows in proportion to its size.
+    ``todo`` is a written table with a row (h, node, attributes) for each key of each
+    node. Pairs have columns a, b, and each attribute of both (na and nb for n);
+    ``possible`` is a condition on these that every link meets for at least one
+    of its keys, and that holds for no pair whose ``size`` differs by more than a
+    quarter of the lesser. ``compare`` gets distinct possible pairs and returns
+    those that link, as a written table.
+
+    Every key names a leader, its node of the least hash. In the rounds *one*, each
+    node is compared with one leader, the least of those of its keys, so a round
+    compares no more pairs than there are nodes; keys whose nodes are in one
+    component by then are done. In the round *all*, each node of a key is compared
+    with the key's leader, which then leaves it. In the round *rest*, under each key
+    that is left, the nodes outside its largest component are compared with all
+    others in other components, dealt by key and size, so that a key of many
+    nodes is many tasks. So two nodes of a key are compared, connected, or
+    impossible, and a group of copies costs rows in proportion to its size.
     """
     spark = todo.sparkSession
     columns = ("node", "comp", *attributes)
     have = todo.select("h", "node", F.col("node").alias("comp"), *attributes)
-    links, comps = None, None
+    links, comps, mine = None, None, None
+    hashed = lambda c: F.xxhash64(c)
 
-    def pairs(one: DataFrame, two: DataFrame, joined) -> DataFrame:
-        x, y = ({"node": s, "comp": "c" + s} | {z: z + s for z in attributes} for s in "ab")
-        found = joined(one.select("h", *(F.col(c).alias(x[c]) for c in columns)), two.select("h", *(F.col(c).alias(y[c]) for c in columns)))
+    def sided(rows: DataFrame, side: str, *more: str) -> DataFrame:
+        return rows.select("h", F.col("node").alias(side), F.col("comp").alias("c" + side), *(F.col(z).alias(z + side) for z in attributes), *more)
+
+    def ordered(found: DataFrame) -> DataFrame:
         swap = F.col("a") > F.col("b")
         sides = [("a", "b"), *((z + "a", z + "b") for z in attributes)]
-        return found.where((F.col("ca") != F.col("cb")) & possible).select(*(F.when(swap, F.col(v)).otherwise(F.col(u)).alias(w) for m, n in sides for u, v, w in ((m, n, m), (n, m, n))))
-
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            top = have.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
-            rest = have.join(top.select("h", F.col("node").alias("_l")), "h").where("node <> _l").drop("_l")
-            got = compare(pairs(rest, top, lambda x, y: x.join(y, "h")))
+        return found.select(*(F.when(swap, F.col(v)).otherwise(F.col(u)).alias(w) for m, n in sides for u, v, w in ((m, n, m), (n, m, n))))
+
+    for turn in ROUNDS:
+        apart = (F.col("ca") != F.col("cb")) & possible
+        if turn == "rest":
+            count = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+            main = count.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("t")).select("h", F.col("t.comp").alias("_c"))
+            # Steps of 1.26: sizes that differ by a quarter at most are in one step or in two next to each other.
+            step = F.floor(F.log(F.col(size).cast("double")) / math.log(1.26))
+            marked = have.join(main, "h").withColumn("minor", F.col("comp") != F.col("_c")).withColumn("k", step)
+            one = sided(marked.where("minor").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "a", "k")
+            two = sided(marked, "b", "k", "minor")
+            pairs = one.join(two, ["h", "k"]).where(apart & (~F.col("minor") | (F.col("a") < F.col("b"))))
         else:
-            size = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-            main = size.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("t")).select("h", F.col("t.comp").alias("_c"))
-            marked = have.join(main, "h").withColumn("minor", F.col("comp") != F.col("_c"))
-            minor, major = marked.where("minor").drop("minor"), marked.where("not minor").drop("minor")
-            # A pair of two minor nodes comes up once, one with a node of the main component once anyway.
-            got = compare(pairs(minor, major, lambda x, y: x.join(y, "h")).union(pairs(minor, minor, lambda x, y: x.join(y, "h").where("a < b"))))
+            top = have.groupBy("h").agg(F.min(F.struct(hashed("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
+            rest = have.join(top.select("h", F.col("node").alias("_l")), "h").where("node <> _l").drop("_l")
+            pairs = sided(rest, "a").join(sided(top, "b"), "h").where(apart)
+            if turn == "one":
+                pick_one = F.min(F.struct(hashed("b").alias("r"), "b", *(z + "b" for z in attributes), *(z + "a" for z in attributes))).alias("t")
+                pairs = pairs.groupBy("a").agg(pick_one).select("a", "t.*")
+        got = compare(ordered(pairs))
         links = got if links is None else links.union(got)
         # What is known already counts as one link for each node.
-        comps = components(got if comps is None else got.union(comps.select("node", "comp")))
-        if turn < LEADERS:
-            again = rest.drop("comp").join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
+        new = components(got if comps is None else got.union(comps.select("node", "comp")))
+        if comps is not None:
+            storage.drop(spark, comps)
+        comps = new
+        if turn != "rest":
+            now = (rest if turn == "all" else have).drop("comp")
+            again = now.join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
             alive = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
             have = storage.written(again.join(alive, "h"), "shared-keys")
-            storage.release(spark)
+            if mine is not None:
+                storage.drop(spark, mine)
+            mine = have
             if have.isEmpty():
                 break
+    storage.drop(spark, mine)
     return links, comps

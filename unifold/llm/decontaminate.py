@@ -241,14 +241,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     spark = df.sparkSession
     storage.bounded_batches(spark)
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    kind, item_kind = dict(rows.dtypes)["id"], dict(benchmark.dtypes)[item]
-    schema = f"id {kind}, item {item_kind}, start long, n_words long, distance long"
+    # Items of equal text are searched for once, under a hash of their text.
+    items = benchmark.select(F.col(item).alias("item"), F.xxhash64(F.col(item_text)).alias("key"), F.col(item_text).alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, key long, start long, n_words long, distance long"
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))):
+    for block in blocks(items.select("key", "text").dropDuplicates(["key"])):
         share = spark.sparkContext.broadcast(Items(*block, percent))
 
         def run(batches, share=share):
             known = share.value
+            keys = np.array(known.ids, np.int64)
             for part, buf, offs in kernel.slices(batches, 1):
                 row, place, which, d = known.search(*normal(buf, offs))
                 order = np.lexsort((place, d, which, row))
@@ -256,20 +258,28 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (which[1:] != which[:-1])
                 row, place, which, d = (x[new] for x in (row, place, which, d))
-                names = pa.array([known.ids[k] for k in which.tolist()], part_type)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names, pa.array(place), pa.array(known.sizes[which]), pa.array(d)], names=["id", "item", "start", "n_words", "distance"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(keys[which]), pa.array(place), pa.array(known.sizes[which]), pa.array(d)], names=["id", "key", "start", "n_words", "distance"])
 
-        part_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
         out = out.union(rows.mapInArrow(run, schema))
-    best = out.groupBy("id", "item").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
-    return best.select(F.col("id").alias(id), F.col("item").alias(item), "b.start", "b.n_words", "b.distance", (1 - F.col("b.distance") / F.col("b.n_words")).alias("similarity"))
+    best = out.groupBy("id", "key").agg(F.min(F.struct("distance", "start", "n_words")).alias("b"))
+    named = best.join(items.select("key", "item").distinct(), "key")
+    return named.select(F.col("id").alias(id), F.col("item").alias(item), "b.start", "b.n_words", "b.distance", (1 - F.col("b.distance") / F.col("b.n_words")).alias("similarity"))
 
 
-def blocks(benchmark: DataFrame):
-    """(ids, word hashes) of up to BLOCK items at a time, streamed partition by partition."""
+def clean(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` without a benchmark passage, told apart by a hash of id and text, so that null and repeated ids do no harm."""
+    rid = F.xxhash64(F.col(id).cast("string"), F.col(text))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), rid.alias("rid"), F.col(text).alias("text"))
+    found = contaminated(rows.select("rid", "text"), benchmark, "rid", "text", item, item_text, percent)
+    gone = storage.written(found.select("rid").distinct(), "contaminated")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
+
+
+def blocks(items: DataFrame):
+    """(keys, word hashes) of up to BLOCK items at a time, streamed partition by partition."""
     ids, texts = [], []
-    for r in benchmark.toLocalIterator():
-        ids.append(r["item"])
+    for r in items.toLocalIterator():
+        ids.append(r["key"])
         texts.append((r["text"] or "").encode())
         if len(ids) == BLOCK:
             yield ids, _words(texts)

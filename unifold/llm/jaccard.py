@@ -9,10 +9,10 @@ ranges of hashes (suffix filter: what differs in the ranges' sizes differs in
 the sets); what is left is verified on the texts, once per pair.
 
 All pairs of a group of copies are never formed. Every prefix shingle names one
-leader, which is compared with the other classes that share it; shingles whose
-classes have all become one component are done. After a second round of this,
-only classes outside the main component of a shingle are compared with the
-others under it. Every pair that shares a prefix shingle and passes the length and
+leader. Each class is first compared with one of the leaders of its shingles, twice,
+then with all of them; shingles whose classes have all become one component are
+done. At last, only classes outside the main component of a shingle are compared
+with the others under it. Every pair that shares a prefix shingle and passes the length and
 positional filters is thus compared, or is in one component already, so
 components are those of all links.
 
@@ -73,7 +73,7 @@ def least_overlap(total, percent: int = PERCENT):
 
 
 def signatures(df: DataFrame, gram: int) -> DataFrame:
-    """(id, n, node, parts) per row: set size, the set's hash and its spread over hash ranges."""
+    """(id, rid, n, node, parts) per row: set size, the set's hash and its spread over hash ranges."""
 
     def run(batches):
         for rows, buf, offs in kernel.slices(batches, 1):
@@ -83,9 +83,9 @@ def signatures(df: DataFrame, gram: int) -> DataFrame:
             row = kernel.row_of(first)
             parts = np.bincount(row * RANGES + (h >> np.uint64(60)).astype(np.int64), minlength=RANGES * (len(first) - 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, RANGES, dtype=np.int32)), pa.array(parts))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), kernel.signed(node), lists], names=["id", "n", "node", "parts"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(first)), kernel.signed(node), lists], names=["id", "rid", "n", "node", "parts"])
 
-    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n long, node long, parts array<int>")
+    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, rid long, n long, node long, parts array<int>")
 
 
 def bucket_counts(df: DataFrame, gram: int) -> np.ndarray:
@@ -178,34 +178,57 @@ def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> Dat
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per row of ``df``: id, n_shingles, component_id (the least id reachable by links) and n_links of its class to others found."""
+    return grouped(df, id, text, gram, percent).select(F.col("id").alias(id), "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` but for those with a near duplicate that comes first: by id (nulls last), then by a hash of id and text.
+
+    Rows without words stay. Of rows that repeat (equal id and text) one stays.
+    """
+    spark = df.sparkSession
+    rid = F.xxhash64(F.col(id).cast("string"), F.col(text))
+    found = storage.written(grouped(df, id, text, gram, percent).where("n_shingles > 0").select("rid", "id", "comp"), "near-groups")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("_r"), F.count(F.lit(1)).alias("_m")).where("_m > 1").select("comp", "_r")
+    gone = storage.written(found.join(first, "comp").where("rid <> _r").select("rid").distinct(), "near-gone")
+    twice = storage.written(found.groupBy("rid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rid").join(gone, "rid", "left_anti"), "near-twice")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), rid.alias("rid")).join(gone, "rid", "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "rid", "left_anti").union(rows.join(twice, "rid", "left_semi").dropDuplicates(["rid"]))
+    return rows.select("row.*")
+
+
+def grouped(df: DataFrame, id: str, text: str, gram: int, percent: int) -> DataFrame:
+    """Per row of ``df``: rid (a hash of id and text), id, n_shingles, comp (of the row's class; null without words), component_id, n_links."""
     spark = df.sparkSession
     storage.bounded_batches(spark)
-    rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("rid"))
     sets = storage.written(signatures(rows, gram), "shingle-sets")
     classes = storage.written(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("parts").alias("parts")), "shingle-classes")
     prefixes = tokens(rows, bucket_counts(rows, gram), gram, percent)
-    shared = prefixes.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
+    shared = storage.written(prefixes.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "shared")
     todo = storage.written(prefixes.join(shared, "h").distinct(), "shared-shingles")
-    storage.release(spark)
-    keyed = signed_texts(rows, gram)
+    storage.drop(spark, shared)
+    texts = storage.written(pick(signed_texts(rows, gram), todo.select("node").distinct()), "class-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         candidates = storage.written(filtered(pairs, classes, percent), "candidates")
-        texts = storage.written(pick(keyed, candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()), "candidate-texts")
-        got = storage.written(verified(candidates, texts, gram, percent), "links")
-        storage.drop(spark, texts)
+        held = pick(texts, candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct())
+        got = storage.written(verified(candidates, held, gram, percent), "links")
+        storage.drop(spark, candidates)
         return got
 
-    links, comps = linked(todo, ("n", "i"), possible(percent), compare)
+    links, comps = linked(todo, ("n", "i"), "n", possible(percent), compare)
+    for t in (todo, texts):
+        storage.drop(spark, t)
     named = classes.select("node", "least")
-    if comps is not None:
-        least = comps.join(named, "node").groupBy("comp").agg(F.min("least").alias("component_id"))
-        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        named = named.join(comps, "node", "left").join(least, "comp", "left").join(degree, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    else:
-        named = named.select("node", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    least = comps.join(named, "node").groupBy("comp").agg(F.min("least").alias("component_id"))
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    named = named.join(comps, "node", "left").join(least, "comp", "left").join(degree, "node", "left")
+    named = named.select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own = F.col("n") == 0
-    return sets.select("id", "n", F.when(~own, F.col("node")).alias("node")).join(named, "node", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = sets.select("id", "rid", "n", F.when(~own, F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("rid", "id", F.col("n").alias("n_shingles"), "comp", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def signed_texts(df: DataFrame, gram: int) -> DataFrame:

@@ -22,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from . import edit, kernel, storage
+from . import kernel, storage
 from .components import linked, pick
 
+U = np.uint64
 BITS = 16
-SMALLEST = 12  #: keys of a line of each kind
-WHOLE = 10  #: words of a line that meets others without one of its words, at most
-SEQUENCES = (3, 8, 18), (4, 14, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
+BAND = 24  #: edits that are looked for first
+SMALLEST = 6  #: keys of a line of each kind
+WHOLE = 7  #: words of a line that meets others without one of its words, at most
+SEQUENCES = (3, 6, 14), (4, 12, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
 PERCENT = 80
 LEAST_WORDS = 5
 WORDY = np.zeros(256, bool)
@@ -59,32 +62,50 @@ def normal_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return low, ws, we, kernel.span_hashes(low, ws, we), np.searchsorted(ws, edges)
 
 
+def top_bits(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Row number and the upper 40 bits of the hash in one number, which sorts fast; rows below 2 ** 24."""
+    return (row.astype(np.uint64) << U(40)) | (hashes >> U(24))
+
+
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The 64-bit SimHash of each run's distinct word hashes; no run is empty.
 
     Each word counts once: in long lines the commonest words would else decide,
-    and all long lines of a language would look alike.
+    and all long lines of a language would look alike. Eight counters of 8 bits
+    are summed at once, for longer lines four of 16 bits (up to 65,535 words count).
     """
-    row = kernel.row_of(first)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    hashes, first = hashes[new], np.searchsorted(row[new], np.arange(len(first)))
-    out = np.zeros(len(first) - 1, np.uint64)
-    for lo in range(0, len(out), 4096):
-        hi = min(lo + 4096, len(out))
-        a, b = first[lo], first[hi]
-        bits = np.unpackbits(hashes[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, first[lo:hi] - a, axis=0, dtype=np.int32)
-        ones = 2 * sums > np.diff(first[lo : hi + 1])[:, None]
-        out[lo:hi] = np.packbits(ones, axis=1).view(np.uint64).ravel()
-    return out
+    rows = len(first) - 1
+    if rows >= 1 << 24:
+        half = rows // 2
+        return np.concatenate([simhash(hashes[: first[half]], first[: half + 1]), simhash(hashes[first[half] :], first[half:] - first[half])])
+    if not rows:
+        return np.zeros(0, np.uint64)
+    key = np.sort(top_bits(hashes, kernel.row_of(first)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    begin = np.searchsorted(key >> U(40), np.arange(rows, dtype=np.uint64))
+    size = np.diff(np.append(begin, len(key)))
+    words = kernel.mix(key & U((1 << 40) - 1))
+    ones = np.empty((rows, 64), bool)
+    for many, width in ((False, 8), (True, 16)):
+        own = np.flatnonzero((size > 255) == many)
+        if not len(own):
+            continue
+        member = np.repeat((size > 255) == many, size)
+        at = np.cumsum(size[own]) - size[own]
+        lanes = 64 // width
+        table = sum(((np.arange(1 << lanes, dtype=np.uint64) >> U(j)) & U(1)) << U(width * j) for j in range(lanes))
+        for k in range(width):
+            part = (words[member] >> U(lanes * k)) & U((1 << lanes) - 1)
+            sums = np.add.reduceat(table[part.astype(np.int64)], at)
+            ones[own, lanes * k : lanes * (k + 1)] = 2 * sums.view(np.uint8 if width == 8 else np.uint16).reshape(-1, lanes).astype(np.int32) > size[own][:, None]
+    return np.packbits(ones, axis=1).view(np.uint64).ravel()
 
 
 def line_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of all keys of each run of word hashes; runs with a common key are compared."""
-    size, out = np.diff(first), []
+    size, out = np.diff(first), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for n in np.unique(size[size <= WHOLE]).tolist():
         own = np.flatnonzero(size == n)
         words = hashes[first[own][:, None] + np.arange(n)]
@@ -94,123 +115,154 @@ def line_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
             out.append((own, kernel.gram_hashes(rest, np.arange(len(own)) * (n - 1), n - 1)))
     for length, least, most in SEQUENCES:
         own = np.flatnonzero((size >= least) & (size <= most))
-        count = size[own] - length + 1
-        stop = np.cumsum(count)
-        row = np.repeat(np.arange(len(own)), count)
-        grams = kernel.gram_hashes(hashes, np.arange(len(row)) + (first[own] - (stop - count))[row], length)
-        order = np.lexsort((grams, row))
-        place = np.arange(len(row)) - (stop - count)[row]
-        taken = order[place < SMALLEST]
-        out.append((own[row[taken]], grams[taken]))
-    line, key = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.argsort(line, kind="stable")
-    return line[order], key[order]
-
-
-def lines_of(df: DataFrame, least_words: int, with_text: bool = False) -> DataFrame:
-    """Rows (rid, id, line, node, simhash, keys) of each line that is compared, or (node, text) in normal form."""
+        for lo in range(0, len(own), 1 << 24):
+            part = own[lo : lo + (1 << 24)]
+            count = size[part] - length + 1
+            begin = np.cumsum(count) - count
+            row = np.repeat(np.arange(len(part)), count)
+            grams = kernel.gram_hashes(hashes, np.arange(len(row)) + (first[part] - begin)[row], length)
+            short = top_bits(grams, row)
+            last = np.sort(short)[begin + np.minimum(count, SMALLEST) - 1] if len(part) else short
+            taken = short <= last[row]
+            out.append((part[row[taken]], grams[taken]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def compared(buf: np.ndarray, offs: np.ndarray, least_words: int):
+    """The lines of at least ``least_words`` words: normal bytes, word spans and hashes, row, number, first words, node."""
+    row, starts, ends = split_lines(buf, offs)
+    low, ws, we, hashes, first = normal_words(buf, starts, ends)
+    size = np.diff(first)
+    keep = np.flatnonzero(size >= least_words)
+    member = np.repeat(size >= least_words, size)
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    edge = np.concatenate([[0], np.cumsum(size[keep])])
+    hashes = hashes[member]
+    return low, ws[member], we[member], hashes, row[keep], number[keep], edge, kernel.gram_hashes(hashes, edge[:-1], np.diff(edge))
+
+
+def lines_of(df: DataFrame, least_words: int) -> DataFrame:
+    """(rid, id, line, node, m) of each line that is compared; m is how many its row has. ``df``: rid, id, text."""
 
     def run(batches):
         for rows, buf, offs in kernel.slices(batches, 2):
-            row, starts, ends = split_lines(buf, offs)
-            low, ws, we, hashes, first = normal_words(buf, starts, ends)
-            size = np.diff(first)
-            keep = np.flatnonzero(size >= least_words)
-            node = kernel.gram_hashes(hashes, first[:-1][keep], size[keep])
-            if with_text:
-                text = np.append(low, 0)
-                wsize = we - ws + 1
-                stop = np.cumsum(wsize)
-                flat = text[np.repeat(ws - (stop - wsize), wsize) + np.arange(stop[-1] if len(stop) else 0)].astype(np.uint8)
-                flat[stop - 1] = 32
-                whole, at = flat.tobytes(), np.concatenate([[0], stop])
-                got = [whole[a : b - 1] for a, b in zip(at[first[:-1][keep]].tolist(), at[first[1:][keep]].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([kernel.signed(node), pa.array(got, pa.binary()).cast(pa.string())], names=["node", "text"])
-                continue
-            member = np.repeat(size >= least_words, size)
-            sim = simhash(hashes[member], np.concatenate([[0], np.cumsum(size[keep])])) if len(keep) else np.zeros(0, np.uint64)
-            owner, key = line_keys(hashes[member], np.concatenate([[0], np.cumsum(size[keep])]))
-            each = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(keep) + 1)).astype(np.int32)), kernel.signed(key))
-            number = np.arange(len(row)) - np.searchsorted(row, row)
-            take = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number[keep].astype(np.int32)), kernel.signed(node), kernel.signed(sim), each], names=["rid", "id", "line", "node", "simhash", "keys"])
-
-    kind = dict(df.dtypes)["id"]
-    return df.mapInArrow(run, "node long, text string" if with_text else f"rid long, id {kind}, line int, node long, simhash long, keys array<long>")
-
-
-def alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ta, tb) whose texts' edit similarity, 1 - distance / longer length, is at least ``percent``."""
+            *_, row, number, _, node = compared(buf, offs, least_words)
+            take, many = pa.array(row), np.bincount(row, minlength=rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), kernel.signed(node), pa.array(many[row].astype(np.int32))], names=["rid", "id", "line", "node", "m"])
+
+    return df.mapInArrow(run, f"rid long, id {dict(df.dtypes)['id']}, line int, node long, m int")
+
+
+def keys_of(df: DataFrame, least_words: int) -> DataFrame:
+    """(h, node, s, n) of each key of each line: SimHash and length of the normal form. ``df``: text."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                sides = []
-                for k in (2, 3):
-                    buf, offs = kernel.texts(part.column(k))
-                    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
-                    heads = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-                    sides += [points, heads[offs]]
-                longer = np.maximum(np.diff(sides[1]), np.diff(sides[3]))
-                most = (100 - percent) * longer // 100
-                ok = pa.array(edit.distances(*sides, most) <= most)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def groups(found: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, comp) of every node that links with another one. ``found``: node, simhash, keys; ``texts``: node, text."""
-    nodes = storage.written(found.groupBy("node").agg(F.first("simhash").alias("s"), F.first("keys").alias("keys")), "line-nodes")
-    keyed = nodes.select("node", "s", F.explode(F.array_distinct("keys")).alias("h"))
-    shared = keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
-    todo = storage.written(keyed.join(shared, "h"), "line-keys")
-    storage.release(texts.sparkSession)
+        for _, buf, offs in kernel.slices(batches, 0):
+            low, ws, we, hashes, _, _, edge, node = compared(buf, offs, least_words)
+            own = np.sort(np.unique(node, return_index=True)[1])
+            size = np.diff(edge)[own]
+            first = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(first[-1]) + np.repeat(edge[own] - first[:-1], size)
+            points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+            chars = kernel.per_row((points[we] - points[ws])[at] + 1, first) - 1
+            line, key = line_keys(hashes[at], first)
+            sim = simhash(hashes[at], first)
+            yield pa.RecordBatch.from_arrays([kernel.signed(key), kernel.signed(node[own][line]), kernel.signed(sim[line]), pa.array(chars[line].astype(np.int32))], names=["h", "node", "s", "n"])
+
+    return df.mapInArrow(run, "h long, node long, s long, n int")
+
+
+def texts_of(df: DataFrame, least_words: int) -> DataFrame:
+    """(node, text in normal form) of each line that is compared. ``df``: text."""
+
+    def run(batches):
+        for _, buf, offs in kernel.slices(batches, 0):
+            low, ws, we, _, _, _, edge, node = compared(buf, offs, least_words)
+            own = np.sort(np.unique(node, return_index=True)[1])
+            size = np.diff(edge)[own]
+            word = np.arange(size.sum()) + np.repeat(edge[own] - (np.cumsum(size) - size), size)
+            wide = (we - ws)[word] + 1
+            stop = np.cumsum(wide)
+            at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(ws[word] - (stop - wide), wide)
+            flat = np.append(low, 0)[at].astype(np.uint8)
+            flat[stop - 1] = 32
+            whole, edges = flat.tobytes(), np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(size)])].tolist()
+            got = [whole[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([kernel.signed(node[own]), pa.array(got, pa.binary()).cast(pa.string())], names=["node", "text"])
+
+    return df.mapInArrow(run, "node long, text string")
+
+
+def alike(percent: int):
+    """Whether ``ta`` and ``tb`` have an edit similarity, 1 - distance / longer length, of at least ``percent``.
+
+    Most that have are within a few edits, which a narrow band of the distance table shows.
+    """
+    most = f"cast((100 - {percent}) * greatest(length(ta), length(tb)) div 100 as int)"
+    return F.expr(f"levenshtein(ta, tb, least({BAND}, {most})) >= 0 or levenshtein(ta, tb, {most}) >= 0")
+
+
+def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(node, comp) of every node that links with another one. ``rows``: text."""
+    spark = rows.sparkSession
+    keyed = keys_of(rows, least_words)
+    shared = storage.written(keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "line-shared")
+    todo = storage.written(keyed.join(shared, "h").dropDuplicates(["h", "node"]), "line-keys")
+    storage.drop(spark, shared)
+    texts = storage.written(pick(texts_of(rows, least_words), todo.select("node").distinct()), "line-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         close = storage.written(pairs.select("a", "b").distinct(), "line-pairs")
-        held = storage.written(pick(texts, close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "line-texts")
+        held = pick(texts, close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
         both = close.join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-        return storage.written(alike(both.select("a", "b", "ta", "tb"), percent), "line-links")
+        got = storage.written(both.where(alike(percent)).select("a", "b"), "line-links")
+        storage.drop(spark, close)
+        return got
 
-    return linked(todo, ("s",), F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS, compare)[1]
+    possible = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    links, comps = linked(todo, ("s", "n"), "n", possible, compare)
+    for t in (links, todo, texts):
+        storage.drop(spark, t)
+    return comps
 
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row of ``df``: its columns, and kept (the text without its cut lines), n_lines compared and n_cut.
+    """Per row of ``df``: its columns, and kept (the text without its cut lines), n_cut and n_lines compared.
 
     ``kept`` joins the lines that stay by line feeds; a text with no line cut is
-    returned as it is (null stays null).
+    returned as it is (null stays null). Input columns named like one of these
+    three are replaced; other names may be anything. An empty table gives an empty one. Very long
+    texts are read whole, one at a time.
     """
     spark = df.sparkSession
     storage.bounded_batches(spark)
-    if {"kept", "n_lines", "n_cut"} & set(df.columns):
-        raise ValueError("kept, n_lines and n_cut are names of results")
     rid = F.xxhash64(F.col(id).cast("string"), F.col(text))
     rows = df.select(rid.alias("rid"), F.col(id).alias("id"), F.col(text).alias("text"))
     found = storage.written(lines_of(rows, least_words), "lines")
-    comps = groups(found, lines_of(rows, least_words, True), percent)
-    grouped = found.select("rid", "id", "line", F.col("node").alias("comp")) if comps is None else found.join(comps, "node", "left").select("rid", "id", "line", F.coalesce("comp", "node").alias("comp"))
+    comps = groups(rows.select("text"), percent, least_words)
+    grouped = found.join(comps, "node", "left").select("rid", "id", "line", "m", F.coalesce("comp", "node").alias("comp"))
     grouped = storage.written(grouped, "line-groups")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "rid", "line")
-    first = grouped.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    extra = grouped.join(first, "comp").where(~((F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line"))))
-    cuts = storage.written(extra.groupBy("rid").agg(F.collect_set("line").alias("cut")), "line-cuts")
-    counts = found.groupBy("rid").agg(F.countDistinct("line").alias("n_lines"))
-    names = df.columns
+    first = grouped.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count")).where("count > 1").select("comp", "first")
+    extra = ~((F.col("rid") == F.col("first.rid")) & (F.col("line") == F.col("first.line")))
+    cuts = grouped.join(first, "comp", "left").groupBy("rid").agg(F.collect_set(F.when(F.col("first").isNotNull() & extra, F.col("line"))).alias("cut"), F.max("m").alias("m"))
+    cuts = storage.written(cuts, "line-cuts")
+    for t in (found, comps, grouped):
+        storage.drop(spark, t)
+    names = [c for c in df.columns if c not in ("kept", "n_cut", "n_lines")]
 
     def cut(batches):
         for batch in batches:
-            texts, lists = batch.column(len(names)), batch.column(len(names) + 1)
-            kept = [None if t is None else t if not c else "\n".join([x for k, x in enumerate(t.split("\n")) if k not in set(c)]) for t, c in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(kept, pa.string()), pa.array([len(c) if c else 0 for c in lists.to_pylist()], pa.int64()), batch.column(len(names) + 2)], names=[*names, "kept", "n_cut", "n_lines"])
-
-    from pyspark.sql.types import StructType
-
-    schema = StructType(list(df.schema.fields)).add("kept", "string").add("n_cut", "long").add("n_lines", "long")
-    whole = df.withColumn("__rid", rid).join(cuts.withColumnRenamed("rid", "__rid"), "__rid", "left").join(counts.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    return whole.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("__text"), F.col("cut").alias("__cut"), F.coalesce("n_lines", F.lit(0)).alias("__lines")).mapInArrow(cut, schema)
+            kept, size = [], []
+            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                gone = set(c or ())
+                kept.append("\n".join([x for k, x in enumerate(t.split("\n")) if k not in gone]) if gone else t)
+                size.append(len(gone))
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(kept, pa.string()), pa.array(size, pa.int64()), batch.column(3)], names=[*names, "kept", "n_cut", "n_lines"])
+
+    schema = StructType([df.schema[c] for c in names]).add("kept", "string").add("n_cut", "long").add("n_lines", "long")
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), rid.alias("rid"), F.col(text).alias("text")).join(cuts, "rid", "left")
+    return whole.select("row", "text", "cut", F.coalesce("m", F.lit(0)).cast("long").alias("m")).mapInArrow(cut, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

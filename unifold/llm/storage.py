@@ -50,11 +50,3 @@ def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so that long texts can't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now, not when the driver happens to collect garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

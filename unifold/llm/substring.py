@@ -104,7 +104,7 @@ def parse(df: DataFrame, size: int, gram: int) -> DataFrame:
     counts = several.groupBy("h", "e").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1")
     mixed = several.join(counts, ["h", "e"], "left").select("rid", "pf", "np", F.when(F.col("n").isNull(), BOUNDARY).when(F.col("at") == F.col("first"), SOURCE).otherwise(FACTOR).alias("kind"))
     code = F.shiftleft(F.col("pf").cast("long"), 16) + F.col("np") * 4 + F.col("kind")
-    return one.union(mixed).select("rid", code.alias("code")).groupBy("rid").agg(F.collect_list("code").alias("codes"))
+    return one.union(mixed).select("rid", code.alias("code")).groupBy("rid").agg(F.collect_set("code").alias("codes"))  # rows that repeat have one set
 
 
 def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZ
     parsed = storage.written(parse(keyed.select("rid", "text"), size, gram), "rlz-parse")
     windows = boundary_windows(keyed.join(parsed.where(F.exists("codes", lambda c: c.bitwiseAND(3) != FACTOR)), "rid").select("id", "rid", "text", "codes"), size)
     twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v")
-    single = storage.written(windows.where("open").join(twice, ["w", "v"]).groupBy("rid").agg(F.collect_list("p").alias("singles")), "rlz-singles")
+    single = storage.written(windows.where("open").join(twice, ["w", "v"]).groupBy("rid").agg(F.collect_set("p").alias("singles")), "rlz-singles")
 
     def cut(batches):
         for rows, buf, offs in kernel.slices(batches, 1):

@@ -21,7 +21,8 @@ from . import bpe, kernel, storage
 LEAF = 32 << 10  #: bytes of text that are encoded at once; longer texts are halved
 LONG = 4 << 10  #: bytes of a word from which its pieces are encoded by halves too
 WINDOW = 128  #: bytes on each side of a join in the first window
-SLICE = 4 << 20  #: bytes of text that a worker handles at once
+SLICE = 4 << 20  #: bytes of text that a worker counts at once
+ENCODED = 1 << 20  #: bytes of text that a worker encodes at once: ids and decoded text take several times as much
 CACHED = 100_000  #: unusual words whose ids a worker keeps
 WORD_STEPS = ["NFC", r"\s+", "Lowercase", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"]
 
@@ -255,7 +256,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     Null texts give empty ids and text.
     """
     spark = df.sparkSession
-    storage.bounded_batches(spark)
+    storage.bounded_batches(spark, 4 << 20)
     spec = spark.sparkContext.broadcast(bpe.load(path))
     if {ids, decoded} & set(df.columns):
         raise ValueError(f"{ids} and {decoded} are columns of the input already")
@@ -263,7 +264,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     def run(batches):
         e = held(Encoder, spec.value, leaf)
-        for rows, buf, offs in kernel.slices(batches, at, SLICE):
+        for rows, buf, offs in kernel.slices(batches, at, ENCODED):
             out = e.encode(buf, offs)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x.astype("<u4").tobytes() for x in out], pa.binary()), pa.array(e.decode(out), pa.binary()).cast(pa.string())], names=[*rows.schema.names, ids, decoded])
 
