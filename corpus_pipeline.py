@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from unifold.llm import decontaminate, jaccard, lines, storage, tokens, toxicity
 
-FEW = 1_000_000  #: ids that may be broadcast (under 40 MB); beyond, a shuffled join
-
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity model rejects."""
@@ -23,30 +21,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut all but the first occurrence of equal and nearly equal lines."""
-    out = lines.dedup(docs)
-    return out.withColumns({"text": F.col("kept"), "n_chars": F.when(F.col("n_cut") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    """Cut all but the first occurrence of equal and nearly equal lines; ``n_chars``, if there is one, follows."""
+    out = lines.dedup(docs).withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each group of near duplicates."""
-    groups = storage.written(jaccard.near_duplicates(docs), "pipeline-groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    again = docs.select("doc_id").join(twice, "doc_id", "left_semi").distinct()
-    same = F.col("doc_id").isNull()
-    rest = kept.join(again, "doc_id", "left_anti").where(~same)
-    return rest.union(kept.join(again, "doc_id", "left_semi").where(~same).dropDuplicates(["doc_id", "text"])).union(kept.where(same).dropDuplicates(["text"]))
+    """Keep one document, that of the least id (nulls last), of each group of near duplicates."""
+    return jaccard.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark passage."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = storage.written(found.select("doc_id").where("doc_id is not null").distinct(), "pipeline-contaminated")
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
