@@ -60,7 +60,7 @@ def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-ROUNDS = "one", "one", "all", "rest"  #: who is compared with whom, see :func:`linked`
+ROUNDS = "one", "main", "main", "main", "rest"  #: who is compared with whom, see :func:`linked`
 
 
 def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, compare) -> tuple[DataFrame, DataFrame]:
@@ -73,21 +73,20 @@ def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, co
     quarter of the lesser. ``compare`` gets distinct possible pairs and returns
     those that link, as a written table.
 
-    Every key names a leader, its node of the least hash. In the rounds *one*, each
-    node is compared with one leader, the least of those of its keys, so a round
-    compares no more pairs than there are nodes; keys whose nodes are in one
-    component by then are done. In the round *all*, each node of a key is compared
-    with the key's leader, which then leaves it. In the round *rest*, under each key
-    that is left, the nodes outside its largest component are compared with all
-    others in other components, dealt by key and size, so that a key of many
-    nodes is many tasks. So two nodes of a key are compared, connected, or
-    impossible, and a group of copies costs rows in proportion to its size.
+    A round compares each node with at most one other, and what is one component
+    by then is not compared any more. In the round *one*, every key names a leader,
+    its node of the least hash, and a node meets the least leader of its keys. In
+    the rounds *main*, a node outside the largest component of a key meets one
+    node of that component, another in each round. Last comes the exact round
+    *rest*: under each key that still has several components, the nodes outside the largest are
+    compared with all in other components, dealt by key and size, so that a key
+    of many nodes is many tasks. So two nodes of a key are compared, connected,
+    or impossible, and a group of copies costs rows in proportion to its size.
     """
     spark = todo.sparkSession
     columns = ("node", "comp", *attributes)
     have = todo.select("h", "node", F.col("node").alias("comp"), *attributes)
     links, comps, mine = None, None, None
-    hashed = lambda c: F.xxhash64(c)
 
     def sided(rows: DataFrame, side: str, *more: str) -> DataFrame:
         return rows.select("h", F.col("node").alias(side), F.col("comp").alias("c" + side), *(F.col(z).alias(z + side) for z in attributes), *more)
@@ -97,24 +96,28 @@ def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, co
         sides = [("a", "b"), *((z + "a", z + "b") for z in attributes)]
         return found.select(*(F.when(swap, F.col(v)).otherwise(F.col(u)).alias(w) for m, n in sides for u, v, w in ((m, n, m), (n, m, n))))
 
-    for turn in ROUNDS:
+    for number, turn in enumerate(ROUNDS):
         apart = (F.col("ca") != F.col("cb")) & possible
-        if turn == "rest":
-            count = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-            main = count.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("t")).select("h", F.col("t.comp").alias("_c"))
-            # Steps of 1.26: sizes that differ by a quarter at most are in one step or in two next to each other.
-            step = F.floor(F.log(F.col(size).cast("double")) / math.log(1.26))
-            marked = have.join(main, "h").withColumn("minor", F.col("comp") != F.col("_c")).withColumn("k", step)
-            one = sided(marked.where("minor").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "a", "k")
-            two = sided(marked, "b", "k", "minor")
-            pairs = one.join(two, ["h", "k"]).where(apart & (~F.col("minor") | (F.col("a") < F.col("b"))))
+        salted = lambda c: F.xxhash64(F.lit(number), F.col(c))  # noqa: B023, E731
+        if turn == "one":
+            top = have.groupBy("h").agg(F.min(F.struct(salted("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
+            pairs = sided(have, "a").join(sided(top, "b"), "h").where(apart)
         else:
-            top = have.groupBy("h").agg(F.min(F.struct(hashed("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
-            rest = have.join(top.select("h", F.col("node").alias("_l")), "h").where("node <> _l").drop("_l")
-            pairs = sided(rest, "a").join(sided(top, "b"), "h").where(apart)
-            if turn == "one":
-                pick_one = F.min(F.struct(hashed("b").alias("r"), "b", *(z + "b" for z in attributes), *(z + "a" for z in attributes))).alias("t")
-                pairs = pairs.groupBy("a").agg(pick_one).select("a", "t.*")
+            first = F.min(F.struct(salted("node").alias("r"), "node", *attributes)).alias("t")
+            count = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), first)
+            main = count.groupBy("h").agg(F.max(F.struct("m", "comp", "t")).alias("u")).select("h", F.col("u.comp").alias("_c"), "u.t")
+            if turn == "main":
+                top = main.select("h", F.col("_c").alias("comp"), "t.*")
+                pairs = sided(have, "a").join(sided(top, "b"), "h").where(apart)
+            else:
+                # Steps of 1.26: sizes that differ by a quarter at most are in one step or in two next to each other.
+                step = F.floor(F.log(F.col(size).cast("double")) / math.log(1.26))
+                marked = have.join(main.select("h", "_c"), "h").withColumn("minor", F.col("comp") != F.col("_c")).withColumn("k", step)
+                one = sided(marked.where("minor").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "a", "k")
+                pairs = one.join(sided(marked, "b", "k", "minor"), ["h", "k"]).where(apart & (~F.col("minor") | (F.col("a") < F.col("b"))))
+        if turn != "rest":
+            pick_one = F.min(F.struct(salted("b").alias("r"), "b", *(z + "b" for z in attributes), *(z + "a" for z in attributes))).alias("t")
+            pairs = pairs.groupBy("a").agg(pick_one).select("a", "t.*")
         got = compare(ordered(pairs))
         links = got if links is None else links.union(got)
         # What is known already counts as one link for each node.
@@ -123,8 +126,7 @@ def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, co
             storage.drop(spark, comps)
         comps = new
         if turn != "rest":
-            now = (rest if turn == "all" else have).drop("comp")
-            again = now.join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
+            again = have.drop("comp").join(comps, "node", "left").select("h", "node", F.coalesce("comp", "node").alias("comp"), *attributes)
             alive = again.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
             have = storage.written(again.join(alive, "h"), "shared-keys")
             if mine is not None:

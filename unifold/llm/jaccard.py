@@ -9,8 +9,9 @@ ranges of hashes (suffix filter: what differs in the ranges' sizes differs in
 the sets); what is left is verified on the texts, once per pair.
 
 All pairs of a group of copies are never formed. Every prefix shingle names one
-leader. Each class is first compared with one of the leaders of its shingles, twice,
-then with all of them; shingles whose classes have all become one component are
+leader, and each class is first compared with one of the leaders of its shingles.
+Then, in each of three rounds, a class outside the main component of one of its shingles is compared
+with one class of that component; shingles whose classes have all become one component are
 done. At last, only classes outside the main component of a shingle are compared
 with the others under it. Every pair that shares a prefix shingle and passes the length and
 positional filters is thus compared, or is in one component already, so

@@ -28,8 +28,8 @@ from . import kernel, storage
 from .components import linked, pick
 
 U = np.uint64
-BITS = 16
-BAND = 24  #: edits that are looked for first
+BITS = 13
+BANDS = 24, 96  #: edits that are looked for first
 SMALLEST = 6  #: keys of a line of each kind
 WHOLE = 7  #: words of a line that meets others without one of its words, at most
 SEQUENCES = (3, 6, 14), (4, 12, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
@@ -196,10 +196,10 @@ def texts_of(df: DataFrame, least_words: int) -> DataFrame:
 def alike(percent: int):
     """Whether ``ta`` and ``tb`` have an edit similarity, 1 - distance / longer length, of at least ``percent``.
 
-    Most that have are within a few edits, which a narrow band of the distance table shows.
+    Most that have are a few edits apart, which narrow bands of the distance table show.
     """
     most = f"cast((100 - {percent}) * greatest(length(ta), length(tb)) div 100 as int)"
-    return F.expr(f"levenshtein(ta, tb, least({BAND}, {most})) >= 0 or levenshtein(ta, tb, {most}) >= 0")
+    return F.expr(" or ".join(f"levenshtein(ta, tb, {m}) >= 0" for m in (*(f"least({b}, {most})" for b in BANDS), most)))
 
 
 def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
