@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranking
+from .shared import settled
+
 
 def _t(mean: Column, se: Column) -> Column:
     """0 where the standard error is 0."""
@@ -129,6 +132,55 @@ def joint_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return ha.select(F.col("h").alias("h_a")).crossJoin(hb.select(F.col("h").alias("h_b"))).crossJoin(hab.select(F.col("h").alias("h_ab"))).withColumn("mi", F.col("h_a") + F.col("h_b") - F.col("h_ab"))
 
 
+def noise_pool(df: DataFrame, score: str, id: str, threshold: float = 0.1, least: int = 100, share: float = 0.95) -> DataFrame:
+    """Each row with noise_pool and criteria: score under ``threshold``, and the rest.
+
+    A pool of more than ``share`` of the rows is cut at the order statistic there
+    (the criteria stay). An error if the pool has under ``least`` rows, or if there are no criteria.
+    """
+    d = df.where(F.col(score).isNotNull() & ~F.isnan(score))
+    n, low = d.agg(F.count(F.lit(1)), F.count_if(F.col(score) < threshold)).first()
+    if low < least or low == n:
+        raise ValueError(f"{low} of {n} rows under {threshold}")
+    cut, most = F.lit(threshold), int(n * share)
+    if low > most:
+        at = ranking.global_rank(d.select(score, id), [score, id], "_rank").where(F.col("_rank") == most + 1)
+        cut = F.lit(at.first()[score])
+    return d.withColumn("noise_pool", F.col(score) < cut).withColumn("criteria", F.col(score) >= threshold)
+
+
+def run_mask(df: DataFrame, keys: list[str], present: Column, mean: Column, clip: float) -> DataFrame:
+    """Entities that are present in every one of their runs and whose mean over runs is at least ``clip``."""
+    g = df.groupBy(*keys).agg(F.bool_and(F.coalesce(present, F.lit(False))).alias("_all"), F.avg(mean).alias("mean"))
+    return g.where(F.col("_all") & (F.col("mean") >= clip)).drop("_all")
+
+
+def standard_scores(df: DataFrame, keys: list[str], y: str, name: str = "z") -> DataFrame:
+    """y within each group, less its mean, over its standard deviation (1e-10 at least). One aggregation, joined back."""
+    g = df.groupBy(*keys).agg(F.avg(y).alias("_m"), F.greatest(F.stddev_samp(y), F.lit(1e-10)).alias("_s"))
+    return df.join(g, keys).withColumn(name, (F.col(y) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+
+
+def symmetric_kl(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(a, b, kl) of every pair of groups, a < b: symmetric divergence of Gaussians with the groups' means and covariances of x and y.
+
+    Facts are only summed; pairs are formed of one row per group, so groups must be few (states, labels).
+    """
+    g = df.groupBy(key).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("xx"), F.covar_samp(x, y).alias("xy"), F.var_samp(y).alias("yy"))
+    names = ("mx", "my", "xx", "xy", "yy")
+    left = g.select(F.col(key).alias("a"), *(F.col(c).alias(f"{c}a") for c in names))
+    right = g.select(F.col(key).alias("b"), *(F.col(c).alias(f"{c}b") for c in names))
+
+    def one(p: str, q: str) -> Column:
+        c = {k: (F.col(f"{k}{p}"), F.col(f"{k}{q}")) for k in names}
+        det = c["xx"][1] * c["yy"][1] - c["xy"][1] * c["xy"][1]
+        dx, dy = c["mx"][0] - c["mx"][1], c["my"][0] - c["my"][1]
+        trace = c["yy"][1] * c["xx"][0] - 2 * c["xy"][1] * c["xy"][0] + c["xx"][1] * c["yy"][0]
+        return ((trace + c["yy"][1] * dx * dx - 2 * c["xy"][1] * dx * dy + c["xx"][1] * dy * dy) / det - 2) / 2
+
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", (one("a", "b") + one("b", "a")).alias("kl"))
+
+
 def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows that no other beats on both columns (less is better). Only the least y for each x can, so the sweep runs over distinct x."""
     from pyspark.sql import Window
@@ -136,7 +188,7 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     best = ok.groupBy(x).agg(F.min(y).alias("_y"))
     # Buckets keep the running minimum off a single task: minima of whole buckets first, then within each.
-    spread = best.repartitionByRange(F.col(x)).withColumn("_p", F.spark_partition_id())
+    spread = settled(best.repartitionByRange(F.col(x)).withColumn("_p", F.spark_partition_id()))
     before = spread.groupBy("_p").agg(F.min("_y").alias("_m")).withColumn("_before", F.min("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     run = spread.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("_lower", F.least("_before", F.min("_y").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))))
     front = run.where(F.col("_lower").isNull() | (F.col("_y") < F.col("_lower"))).select(x, F.col("_y").alias(y))

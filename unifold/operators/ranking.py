@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Row numbers over the whole table without a single-task sort.
 
     Rows are dealt out by ranges of ``order`` (whose last column must be unique),
     numbered within each range, and shifted by the sizes of the ranges before, a
-    table of one row per partition.
+    table of one row per partition. The ranges are checkpointed: dealt again, rows
+    could fall into others.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranged = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
@@ -42,6 +48,49 @@ def fdr(df: DataFrame, p: str, id: str, correction: str = "none") -> DataFrame:
     return q.select(*df.columns, "q").union(df.where(~F.coalesce(ok, F.lit(False))).withColumn("q", F.lit(None).cast("double")))
 
 
+def fdr_threshold(df: DataFrame, p: str, id: str, q: float = 0.05) -> DataFrame:
+    """One row, threshold: the largest p that is at most rank / n * q; 0 if none is. Nulls and NaN don't count."""
+    d = df.where(F.col(p).isNotNull() & ~F.isnan(p))
+    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    passing = F.when(F.col(p) <= F.col("_rank") / F.col("_n") * q, F.col(p))
+    return global_rank(d, [p, id], "_rank").crossJoin(F.broadcast(n)).agg(F.coalesce(F.max(passing), F.lit(0.0)).alias("threshold"))
+
+
+def label_swaps(spark, groups: list[int]) -> DataFrame:
+    """(perm, unit, b) of all distinct ways to deal the labels out again; perm 0 is as given. Driver-sized: units are few."""
+    n, size = len(groups), sum(groups)
+    if math.comb(n, size) > 20_000:
+        raise ValueError("too many label permutations to list")
+    own = tuple(k for k, g in enumerate(groups) if g)
+    ways = [own, *(c for c in itertools.combinations(range(n), size) if c != own)]
+    return spark.createDataFrame([(p, u, int(u in w)) for p, w in enumerate(ways) for u in range(n)], "perm int, unit int, b int")
+
+
+def two_sample_swap_t(df: DataFrame, swaps: DataFrame, entity: str, unit: str, y: str) -> DataFrame:
+    """Pooled two-sample t (label 0 less label 1) of every entity under every dealing of labels; sums only."""
+    d = df.join(F.broadcast(swaps.withColumnRenamed("unit", unit)), unit)
+    one = F.when(F.col("b") == 1, F.col(y))
+    two = F.when(F.col("b") == 0, F.col(y))
+    s = d.groupBy("perm", entity).agg(F.count(one).alias("n1"), F.count(two).alias("n0"), F.avg(one).alias("m1"), F.avg(two).alias("m0"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v0"))
+    n1, n0 = F.col("n1"), F.col("n0")
+    pooled = ((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0")) / (n1 + n0 - 2)
+    return s.select("perm", entity, ((F.col("m0") - F.col("m1")) / F.sqrt(F.greatest(pooled, F.lit(1e-30)) * (1 / n1 + 1 / n0))).alias("t"))
+
+
+def empirical_cutoffs(ts: DataFrame, levels: list[float], sided: int = 2) -> DataFrame:
+    """(level, cutoff): quantiles 1 - level, by linear interpolation, of the t values (sizes if two-sided) of all permutations but the first.
+
+    Ranks are global, so no task sorts all values.
+    """
+    d = ts.where("perm > 0").select((F.abs("t") if sided == 2 else F.col("t")).alias("_v"), F.monotonically_increasing_id().alias("_i"))
+    ranked = global_rank(d, ["_v", "_i"], "_rank").select("_rank", "_v")
+    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    want = ts.sparkSession.createDataFrame([(float(x),) for x in levels], "level double").crossJoin(n).withColumn("_at", (1 - F.col("level")) * (F.col("_n") - 1))
+    low = want.withColumn("_rank", F.floor("_at") + 1).withColumn("_w", 1 - (F.col("_at") - F.floor("_at")))
+    high = want.withColumn("_rank", F.least(F.floor("_at") + 2, F.col("_n"))).withColumn("_w", F.col("_at") - F.floor("_at"))
+    return ranked.join(F.broadcast(low.union(high)), "_rank").groupBy("level").agg(F.sum(F.col("_w") * F.col("_v")).alias("cutoff"))
+
+
 def sign_flips(spark, n: int) -> DataFrame:
     """(perm, unit, sign) of all 2**n flips of n units; perm 0 changes nothing."""
     if n > 14:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more  # noqa: F401  registers its queries
+from .plans import designs, more  # noqa: F401  they register their queries
 from .plans import queries as plans
 
 
