@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, lines, mixing, quality, substring, tokens, toxicity
+from . import decontaminate, jaccard, licenses, lines, mixing, quality, sql, substring, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
