@@ -126,3 +126,43 @@ def ridge_slope(df: DataFrame, keys: list[str], x: str, y: str, penalty: float)
 def percent_change(beta: Column, mean: Column) -> Column:
     """100 * beta / |mean|; null where the mean is 0."""
     return 100 * F.try_divide(beta, F.abs(mean))
+
+
+def single_trials(events: DataFrame, trial: str, onset: str, duration: str, tr: float) -> DataFrame:
+    """(trial, frame, x): one regressor a trial, the share of each frame of length tr that it covers; trials of no duration are left out."""
+    start, end = F.col(onset), F.col(onset) + F.col(duration)
+    frames = F.sequence(F.floor(start / tr), F.ceil(end / tr) - 1)
+    cells = events.where(F.col(duration) > 0).select(trial, start.alias("_a"), end.alias("_b"), F.explode(frames).alias("frame"))
+    share = (F.least("_b", (F.col("frame") + 1) * tr) - F.greatest("_a", F.col("frame") * tr)) / tr
+    return cells.select(trial, "frame", share.alias("x")).where("x > 1e-12")
+
+
+def order_trials(trials: DataFrame, keys: list[str], onset: str, condition: str, id: str) -> DataFrame:
+    """Trials numbered from 0 by time, and by condition and then time, within each group; ``id`` breaks ties."""
+    w = Window.partitionBy(*keys)
+    by_time, by_condition = w.orderBy(onset, id), w.orderBy(condition, onset, id)
+    return trials.withColumn("by_time", F.row_number().over(by_time) - 1).withColumn("by_condition", F.row_number().over(by_condition) - 1)
+
+
+def two_sample_columns(df: DataFrame, is_a: Column, covariates: list[str]) -> DataFrame:
+    """``df`` with an intercept and the covariates for each of two sets: a_0, a_1, ..., b_0, b_1, ...; 0 in the other set's rows."""
+    values = [F.lit(1.0), *(F.col(c).cast("double") for c in covariates)]
+    sides = (("a", is_a), ("b", ~is_a))
+    return df.select("*", *(F.when(own, v).otherwise(0.0).alias(f"{s}_{k}") for s, own in sides for k, v in enumerate(values)))
+
+
+def leave_one_out_slopes(df: DataFrame, keys: list[str], fold: str, x: Column, y: Column) -> DataFrame:
+    """(keys, fold, slope) of y on x fitted without each fold: totals less the fold's sums, so facts are read once."""
+    names = ("n", "x", "y", "xx", "xy")
+    d = df.select(*keys, fold, x.alias("_x"), y.alias("_y")).where("_x is not null and _y is not null")
+    a, b = F.col("_x"), F.col("_y")
+    per = d.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("x"), F.sum(b).alias("y"), F.sum(a * a).alias("xx"), F.sum(a * b).alias("xy"))
+    total = per.groupBy(*keys).agg(*(F.sum(c).alias(f"t_{c}") for c in names))
+    n, sx, sy, sxx, sxy = (F.col(f"t_{c}") - F.col(c) for c in names)
+    det = n * sxx - sx * sx
+    return per.join(total, keys).select(*keys, fold, F.when(det > 1e-9, (n * sxy - sx * sy) / det).alias("slope"))
+
+
+def coverage(df: DataFrame, keys: list[str], time: str, n: int, least: float) -> DataFrame:
+    """Entities seen at ``least`` of n times or more, with that share."""
+    return df.groupBy(*keys).agg((F.countDistinct(time) / F.lit(n)).alias("share")).where(F.col("share") >= least)

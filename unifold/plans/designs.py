@@ -321,3 +321,44 @@ def check_events_pairing(spark, sf_dir):
 @query(f"SELECT {math.comb(6, 3)}::BIGINT n")
 def count_unique_label_perms(spark, sf_dir):
     return ranking.label_swaps(spark, [1, 1, 1, 0, 0, 0]).agg(F.countDistinct("perm").alias("n"))
+
+
+@query("SELECT event_type, count(*) n, sum((props->>'$.k')::INT)::BIGINT total, count(DISTINCT (props->>'$.k')) n_values FROM events GROUP BY 1")
+def json_fields(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k.cast("int")).alias("total"), F.countDistinct(k).alias("n_values"))
+
+
+@query(f"WITH {EVENTS_SQL}, t AS (SELECT event_id, sec a, sec+value*120 b FROM ev WHERE value>0), f AS (SELECT event_id, a, b, unnest(range(floor(a/1800)::BIGINT, ceil(b/1800)::BIGINT)) frame FROM t) SELECT event_id, frame, round((least(b,(frame+1)*1800.0)-greatest(a,frame*1800.0))/1800,6) x FROM f WHERE (least(b,(frame+1)*1800.0)-greatest(a,frame*1800.0))/1800>1e-12")
+def make_singletrialdesign(spark, sf_dir):
+    d = events(spark, sf_dir).withColumn("length", F.col("value") * 120)
+    return rounded(design.single_trials(d, "event_id", "sec", "length", 1800.0))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id)-1)::INT by_time, (row_number() OVER (PARTITION BY user_id ORDER BY event_type, sec, event_id)-1)::INT by_condition FROM ev")
+def order_trials(spark, sf_dir):
+    return design.order_trials(events(spark, sf_dir), ["user_id"], "sec", "event_type", "event_id").select("event_id", "by_time", "by_condition")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey%2=0 THEN 1.0 ELSE 0.0 END::DOUBLE a_0, CASE WHEN s_nationkey%2=0 THEN s_acctbal ELSE 0.0 END a_1, CASE WHEN s_nationkey%2=0 THEN 0.0 ELSE 1.0 END::DOUBLE b_0, CASE WHEN s_nationkey%2=0 THEN 0.0 ELSE s_acctbal END b_1 FROM supplier")
+def two_sample_matrix(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier")
+    return design.two_sample_columns(d, F.col("s_nationkey") % 2 == 0, ["s_acctbal"]).select("s_suppkey", "a_0", "a_1", "b_0", "b_1")
+
+
+@query(
+    "WITH p AS (SELECT l_suppkey, l_linenumber, count(*) n, sum(l_quantity) x, sum(ln(l_extendedprice)) y, sum(l_quantity*l_quantity) xx, sum(l_quantity*ln(l_extendedprice)) xy FROM lineitem GROUP BY 1,2), t AS (SELECT l_suppkey, sum(n) n, sum(x) x, sum(y) y, sum(xx) xx, sum(xy) xy FROM p GROUP BY 1) SELECT p.l_suppkey, l_linenumber, round(((t.n-p.n)*(t.xy-p.xy)-(t.x-p.x)*(t.y-p.y))/((t.n-p.n)*(t.xx-p.xx)-power(t.x-p.x,2)),6) slope FROM p JOIN t USING (l_suppkey)"
+)
+def leave_one_echo_out(spark, sf_dir):
+    return rounded(design.leave_one_out_slopes(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber", F.col("l_quantity"), F.ln("l_extendedprice")))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT user_id, round(count(DISTINCT day)/30.0,6) AS share FROM ev WHERE day<30 GROUP BY 1 HAVING count(DISTINCT day)/30.0>=0.5")
+def data_coverage_mask(spark, sf_dir):
+    return rounded(design.coverage(events(spark, sf_dir).where("day < 30"), ["user_id"], "day", 30, 0.5))
+
+
+@query(f"WITH {HOURLY_SQL}, c AS (SELECT hr, count(*)::DOUBLE x FROM ev GROUP BY 1) SELECT event_type, round(corr(y,x),6) r, count(*) n FROM sr JOIN c USING (hr) GROUP BY 1")
+def component_condition_correlations(spark, sf_dir):
+    counts = events(spark, sf_dir).groupBy("hr").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    return rounded(hourly(spark, sf_dir).join(counts, "hr").groupBy("event_type").agg(F.corr("y", "x").alias("r"), F.count(F.lit(1)).alias("n")))
