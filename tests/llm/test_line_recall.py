@@ -42,3 +42,21 @@ def test_lines_of_edit_similarity_are_found(spark):
     assert len(pairs) > 250
     assert sum(got[k + 1] for k in pairs) >= 0.9 * len(pairs)
     assert not any(got[k] for k in pairs)
+
+
+def test_bit_vectors_tell_whether_edits_suffice():
+    rng = np.random.default_rng(6)
+    draw = lambda n: "".join(rng.choice(list("abé漢😀"), n))
+    for k in range(3000):
+        a = draw(int(rng.integers(0, 90 if k % 10 == 0 else 14)))
+        b = draw(int(rng.integers(0, 14))) if k % 2 else "".join(edited(rng, a + "bbb", int(rng.integers(0, 3))))
+        most = int(rng.integers(0, 9))
+        assert lines.within(a, b, most) == (levenshtein(a, b) <= most), (a, b, most)
+
+
+def test_lines_of_too_many_code_points_are_compared_in_the_jvm(spark, monkeypatch):
+    pairs = [(1, 2, "abcdefghij", "abxdefghij"), (3, 4, "abcdefghij", "axcxefxhij"), (5, 6, "", "")]
+    df = spark.createDataFrame(pairs, "a long, b long, ta string, tb string")
+    assert lines.verified(df, 80).count() == 2
+    monkeypatch.setattr(lines, "within", lambda a, b, most: None)
+    assert {tuple(r) for r in lines.verified(df, 80).collect()} == {(1, 2), (5, 6)}

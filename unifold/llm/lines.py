@@ -29,7 +29,7 @@ from .components import linked, pick
 
 U = np.uint64
 BITS = 13
-BANDS = 24, 96  #: edits that are looked for first
+MASKS = 1 << 31  #: bits that the positions of all code points of a line may take, beyond which the JVM compares it
 SMALLEST = 6  #: keys of a line of each kind
 WHOLE = 7  #: words of a line that meets others without one of its words, at most
 SEQUENCES = (3, 6, 14), (4, 12, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
@@ -193,13 +193,69 @@ def texts_of(df: DataFrame, least_words: int) -> DataFrame:
     return df.mapInArrow(run, "node long, text string")
 
 
-def alike(percent: int):
-    """Whether ``ta`` and ``tb`` have an edit similarity, 1 - distance / longer length, of at least ``percent``.
+def within(a: str, b: str, most: int) -> bool | None:
+    """Whether the edit distance of the code points of ``a`` and ``b`` is at most ``most``; None where it would take too much memory.
 
-    Most that have are a few edits apart, which narrow bands of the distance table show.
+    Common ends go first. What is left is read by bit vectors: a column of the
+    distance table is two numbers, of one bit for each code point of the shorter text.
     """
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in sorted((a, b), key=len))
+    if len(y) - len(x) > most:
+        return False
+    for _ in range(2):
+        differ = x != y[: len(x)]
+        same = int(differ.argmax()) if differ.any() else len(x)
+        x, y = x[same:][::-1], y[same:][::-1]
+    m, n = len(x), len(y)
+    if n <= most:
+        return True
+    if not m:
+        return False
+    symbols, place = np.unique(x, return_inverse=True)
+    if len(symbols) * m > MASKS:
+        return None
+    eqs = {s: int.from_bytes(np.packbits(place == k, bitorder="little").tobytes(), "little") for k, s in enumerate(symbols.tolist())}
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, distance, left = full, 0, m, n
+    for s in y.tolist():
+        eq = eqs.get(s, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ((xh | up) ^ full), up & xh
+        left -= 1
+        if ph & top:
+            distance += 1
+        elif mh & top:
+            distance -= 1
+        if distance - left > most:
+            return False
+        if distance + left <= most:
+            return True
+        ph = (ph << 1) | 1
+        up, down = ((mh << 1) | ((xv | ph) ^ full)) & full, ph & xv
+    return distance <= most
+
+
+def verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts ``ta`` and ``tb`` have an edit similarity, 1 - distance / longer length, of at least ``percent``.
+
+    Pairs of very long lines of very many different code points are left to the JVM.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                left, right = (part.column(k).to_pylist() for k in (2, 3))
+                got = [within(x, y, (100 - percent) * max(len(x), len(y)) // 100) for x, y in zip(left, right, strict=True)]
+                own = pa.array([k for k, g in enumerate(got) if g is not False], pa.int64())
+                wide = [got[k] is None for k in own.to_pylist()]
+                texts = [pa.array([t[k] if w else None for k, w in zip(own.to_pylist(), wide, strict=True)], pa.string()) for t in (left, right)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(own) for k in (0, 1)), *texts], names=["a", "b", "ta", "tb"])
+
     most = f"cast((100 - {percent}) * greatest(length(ta), length(tb)) div 100 as int)"
-    return F.expr(" or ".join(f"levenshtein(ta, tb, {m}) >= 0" for m in (*(f"least({b}, {most})" for b in BANDS), most)))
+    found = pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ta string, tb string")
+    return found.where(F.expr(f"ta is null or levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
 
 
 def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -215,7 +271,7 @@ def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
         close = storage.written(pairs.select("a", "b").distinct(), "line-pairs")
         held = pick(texts, close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
         both = close.join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-        got = storage.written(both.where(alike(percent)).select("a", "b"), "line-links")
+        got = storage.written(verified(both, percent), "line-links")
         storage.drop(spark, close)
         return got
 
