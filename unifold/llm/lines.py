@@ -153,8 +153,8 @@ def lines_of(df: DataFrame, least_words: int) -> DataFrame:
     return df.mapInArrow(run, f"rid long, id {dict(df.dtypes)['id']}, line int, node long, m int")
 
 
-def keys_of(df: DataFrame, least_words: int) -> DataFrame:
-    """(h, node, s, n) of each key of each line: SimHash and length of the normal form. ``df``: text."""
+def keys_of(df: DataFrame, least_words: int, sketched: bool = True) -> DataFrame:
+    """(h, node) of each key of each line, and if ``sketched`` (s, n), SimHash and length of the normal form. ``df``: text."""
 
     def run(batches):
         for _, buf, offs in kernel.slices(batches, 0):
@@ -163,13 +163,17 @@ def keys_of(df: DataFrame, least_words: int) -> DataFrame:
             size = np.diff(edge)[own]
             first = np.concatenate([[0], np.cumsum(size)])
             at = np.arange(first[-1]) + np.repeat(edge[own] - first[:-1], size)
+            line, key = line_keys(hashes[at], first)
+            met = [kernel.signed(key), kernel.signed(node[own][line])]
+            if not sketched:
+                yield pa.RecordBatch.from_arrays(met, names=["h", "node"])
+                continue
             points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
             chars = kernel.per_row((points[we] - points[ws])[at] + 1, first) - 1
-            line, key = line_keys(hashes[at], first)
             sim = simhash(hashes[at], first)
-            yield pa.RecordBatch.from_arrays([kernel.signed(key), kernel.signed(node[own][line]), kernel.signed(sim[line]), pa.array(chars[line].astype(np.int32))], names=["h", "node", "s", "n"])
+            yield pa.RecordBatch.from_arrays([*met, kernel.signed(sim[line]), pa.array(chars[line].astype(np.int32))], names=["h", "node", "s", "n"])
 
-    return df.mapInArrow(run, "h long, node long, s long, n int")
+    return df.mapInArrow(run, "h long, node long, s long, n int" if sketched else "h long, node long")
 
 
 def texts_of(df: DataFrame, least_words: int) -> DataFrame:
@@ -262,7 +266,7 @@ def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
     """(node, comp) of every node that links with another one. ``rows``: text."""
     spark = rows.sparkSession
     keyed = keys_of(rows, least_words)
-    shared = storage.written(keyed.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "line-shared")
+    shared = storage.written(keys_of(rows, least_words, False).groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "line-shared")
     todo = storage.written(keyed.join(shared, "h").dropDuplicates(["h", "node"]), "line-keys")
     storage.drop(spark, shared)
     texts = storage.written(pick(texts_of(rows, least_words), todo.select("node").distinct()), "line-texts")
