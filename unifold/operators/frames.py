@@ -120,21 +120,55 @@ def jackknife(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
     return j.select(left.alias("v"), whole.alias("slope")).groupBy("slope").agg(F.count(F.lit(1)).alias("blocks"), (F.var_pop("v") * (F.count(F.lit(1)) - 1)).alias("variance"))
 
 
-def lag_products(df: DataFrame, keys: list[str], order: list[str], y: str, lags: int) -> DataFrame:
-    """Autocorrelations at lags 1 to ``lags`` of the centred series of each key, and their Ljung-Box statistic."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    c = df.withColumn("_c", F.col(y) - F.avg(y).over(Window.partitionBy(*keys)))
-    sums = [F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"s{k}") for k in range(1, lags + 1)]
-    s = c.select(*keys, "_c", *(F.lag("_c", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("s0"), *sums)
-    r = [F.when(F.col("s0") > 0, F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("s0")).otherwise(0.0) for k in range(1, lags + 1)]
-    q = F.col("n") * (F.col("n") + 2) * sum((x * x / (F.col("n") - k) for k, x in enumerate(r, 1)), F.lit(0.0))
-    return s.where(F.col("n") > lags).select(*keys, "n", *(x.alias(f"r{k}") for k, x in enumerate(r, 1)), q.alias("ljung_box"))
+def ljung_box(df: DataFrame, keys: list[str], order: list[str], y: str, regressors: int = 0) -> DataFrame:
+    """Per key: n, lags, dof and the Ljung-Box statistic of the centred series.
+
+    Lags follow the length: regressors + 2 + min(n / 8, round(3 ln n)), at most n / 2.
+    Series of under 10 rows, and constant ones, get 0. Null values don't count.
+    """
+    d = df.where(F.col(y).isNotNull())
+    whole = Window.partitionBy(*keys)
+    n = F.col("n")
+    lags = F.least(regressors + 2 + F.least(F.floor(n / 8), F.round(3 * F.log(n.cast("double"))).cast("long")), F.floor(n / 2))
+    # One number, which grows with the logarithm of the longest series.
+    most = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max(lags).alias("h")).first()["h"] or 0
+    c = d.select(*keys, *order, (F.col(y) - F.avg(y).over(whole)).alias("_c"), F.count(F.lit(1)).over(whole).alias("n")).withColumn("lags", lags)
+    w = whole.orderBy(*order)
+    c = c.select(*keys, "n", "lags", "_c", *(F.lag("_c", k).over(w).alias(f"_l{k}") for k in range(1, most + 1)))
+    s = c.groupBy(*keys, "n", "lags").agg(F.sum(F.col("_c") * F.col("_c")).alias("_0"), *(F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_{k}") for k in range(1, most + 1)))
+    terms = sum((F.when(F.col("lags") >= k, F.pow(F.col(f"_{k}") / F.col("_0"), 2.0) / (n - k)).otherwise(0.0) for k in range(1, most + 1)), F.lit(0.0))
+    q = F.when((n >= 10) & (F.col("_0") >= 1e-10), n * (n + 2) * terms).otherwise(0.0)
+    return s.select(*keys, "n", "lags", F.greatest(F.col("lags") - 2, F.lit(1)).alias("dof"), q.alias("ljung_box"))
 
 
 def state_bins(df: DataFrame, columns: list[str], levels: int, least: int) -> DataFrame:
-    """Rows per combination of floor-quantised columns in [0, 1], those with ``least`` rows or more."""
+    """Per combination of columns, each scaled to [0, 1] and cut into ``levels``: its bins, n, the state it belongs to and that state's rows.
+
+    States of fewer than ``least`` rows are merged into the nearest one by mean scaled
+    values, the smallest first (ties: the first by bins). There are at most
+    ``levels`` to the power of the columns, which is checked; only those reach the
+    driver. Rows with a null among the columns are left out.
+    """
+    if levels < 2 or levels ** len(columns) > 1 << 16:
+        raise ValueError("levels must be 2 or more, and their combinations at most 65536")
+    spark, d = df.sparkSession, df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(c) for c in columns))
+    ends = d.agg(*(f(c).alias(f"_{k}{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))))
+    z = d.crossJoin(F.broadcast(ends)).select(*(((F.col(c) - F.col(f"_lo{c}")) / F.greatest(F.col(f"_hi{c}") - F.col(f"_lo{c}"), F.lit(1e-12))).alias(c) for c in columns))
     bins = [F.least(F.floor(F.col(c) * levels), F.lit(levels - 1)).cast("int").alias(f"bin_{c}") for c in columns]
-    return df.groupBy(*bins).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    names = [f"bin_{c}" for c in columns]
+    found = sorted(z.groupBy(*bins).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns))).collect(), key=lambda r: [r[x] for x in names])
+    states = {k: [[k], r["n"], [r[f"_s{j}"] for j in range(len(columns))]] for k, r in enumerate(found)}
+    while len(states) > 1:
+        small = min(states, key=lambda k: (states[k][1], k))
+        if states[small][1] >= least:
+            break
+        own, n, sums = states.pop(small)
+        near = min(states, key=lambda k: (sum((x / states[k][1] - y / n) ** 2 for x, y in zip(states[k][2], sums, strict=True)), k))
+        into = states.pop(near)
+        states[min(near, small)] = [into[0] + own, into[1] + n, [x + y for x, y in zip(into[2], sums, strict=True)]]
+    state = {k: (i, states[s][1]) for i, s in enumerate(sorted(states)) for k in states[s][0]}
+    rows = [(*(r[x] for x in names), r["n"], *state[k]) for k, r in enumerate(found)]
+    return spark.createDataFrame(rows, ", ".join([*(f"{x} int" for x in names), "n long, state int, state_n long"]))
 
 
 def patterns(df: DataFrame, entity: str, run: str, y: str, runs: list) -> DataFrame:

@@ -193,3 +193,11 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     run = spread.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("_lower", F.least("_before", F.min("_y").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))))
     front = run.where(F.col("_lower").isNull() | (F.col("_y") < F.col("_lower"))).select(x, F.col("_y").alias(y))
     return ok.join(front, [x, y])
+
+
+def volume_means(df: DataFrame, entity: str, volume: str, y: str, q: float = 0.6) -> DataFrame:
+    """Per volume: mean and n of the rows of entities whose mean over all volumes is at least the quantile ``q`` of all entities' means."""
+    ref = settled(df.groupBy(entity).agg(F.avg(y).alias("_ref")))
+    least = ranking.linear_quantiles(ref, "_ref", [(q, q)]).select("value")
+    mask = ref.join(F.broadcast(least), F.col("_ref") >= F.col("value")).select(entity)
+    return df.join(mask, entity, "left_semi").groupBy(volume).agg(F.avg(y).alias("mean"), F.count(y).alias("n"))

@@ -82,13 +82,19 @@ def empirical_cutoffs(ts: DataFrame, levels: list[float], sided: int = 2) -> Dat
 
     Ranks are global, so no task sorts all values.
     """
-    d = ts.where("perm > 0").select((F.abs("t") if sided == 2 else F.col("t")).alias("_v"), F.monotonically_increasing_id().alias("_i"))
+    sizes = ts.where("perm > 0").select((F.abs("t") if sided == 2 else F.col("t")).alias("v"))
+    return linear_quantiles(sizes, "v", [(float(x), 1 - x) for x in levels]).select(F.col("name").alias("level"), F.col("value").alias("cutoff"))
+
+
+def linear_quantiles(df: DataFrame, column: str, wanted: list[tuple[float, float]]) -> DataFrame:
+    """(name, value) for each (name, q) wanted: the quantile q of all values that aren't null, by linear interpolation, from global ranks."""
+    d = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"), F.monotonically_increasing_id().alias("_i"))
     ranked = global_rank(d, ["_v", "_i"], "_rank").select("_rank", "_v")
     n = d.agg(F.count(F.lit(1)).alias("_n"))
-    want = ts.sparkSession.createDataFrame([(float(x),) for x in levels], "level double").crossJoin(n).withColumn("_at", (1 - F.col("level")) * (F.col("_n") - 1))
+    want = df.sparkSession.createDataFrame(wanted, "name double, _q double").crossJoin(n).withColumn("_at", F.col("_q") * (F.col("_n") - 1))
     low = want.withColumn("_rank", F.floor("_at") + 1).withColumn("_w", 1 - (F.col("_at") - F.floor("_at")))
     high = want.withColumn("_rank", F.least(F.floor("_at") + 2, F.col("_n"))).withColumn("_w", F.col("_at") - F.floor("_at"))
-    return ranked.join(F.broadcast(low.union(high)), "_rank").groupBy("level").agg(F.sum(F.col("_w") * F.col("_v")).alias("cutoff"))
+    return ranked.join(F.broadcast(low.union(high)), "_rank").groupBy("name").agg(F.sum(F.col("_w") * F.col("_v")).alias("value"))
 
 
 def sign_flips(spark, n: int) -> DataFrame:

@@ -129,16 +129,19 @@ def jackknife_variance(spark, sf_dir):
     return r.select(F.round("slope", 5).alias("slope"), "blocks", F.round("variance", 3).alias("variance"))
 
 
-@query(f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, sec, event_id, value-avg(value) OVER (PARTITION BY user_id) c FROM ev), l AS (SELECT user_id, c, lag(c,1) {W} l1, lag(c,2) {W} l2 FROM c), s AS (SELECT user_id, count(*) n, sum(c*c) s0, sum(c*l1) s1, sum(c*l2) s2 FROM l GROUP BY 1)
-SELECT user_id, n, round(s1/s0,6) r1, round(s2/s0,6) r2, round(n*(n+2)*((s1/s0)*(s1/s0)/(n-1)+(s2/s0)*(s2/s0)/(n-2)),5) ljung_box FROM s WHERE n>2""")
+@query(f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, row_number() {W} i, count(*) OVER (PARTITION BY user_id) n, value-avg(value) OVER (PARTITION BY user_id) c FROM ev), h AS (SELECT *, least(2+least(n//8, round(3*ln(n))::BIGINT), n//2) h FROM c),
+s AS (SELECT user_id, n, h, sum(c*c) s0 FROM h GROUP BY 1,2,3), k AS (SELECT x.user_id, y.i-x.i k, sum(x.c*y.c) p FROM h x JOIN h y ON x.user_id=y.user_id AND y.i>x.i AND y.i-x.i<=x.h GROUP BY 1,2)
+SELECT user_id, n, h lags, greatest(h-2,1) dof, CASE WHEN n>=10 AND s0>=1e-10 THEN round(n*(n+2)*sum((p/s0)*(p/s0)/(n-k)),5) ELSE 0 END ljung_box FROM s LEFT JOIN k USING (user_id) GROUP BY user_id, n, h, s0""")
 def ljung_box(spark, sf_dir):
-    r = frames.lag_products(events(spark, sf_dir), ["user_id"], ORDER, "value", 2)
-    return r.select("user_id", "n", F.round("r1", 6).alias("r1"), F.round("r2", 6).alias("r2"), F.round("ljung_box", 5).alias("ljung_box"))
+    return rounded(frames.ljung_box(events(spark, sf_dir), ["user_id"], ORDER, "value"), 5)
 
 
-@query("SELECT least(floor(l_discount*10*8),7)::INT bin_a, least(floor(l_tax*10*8),7)::INT bin_b, count(*) n FROM lineitem GROUP BY 1,2 HAVING count(*)>=4")
+# No bin of these tables has under 4 rows, so that nothing is merged and SQL can tell the states.
+@query("""WITH e AS (SELECT min(l_discount::DOUBLE) la, max(l_discount::DOUBLE)-min(l_discount::DOUBLE) wa, min(l_tax::DOUBLE) lb, max(l_tax::DOUBLE)-min(l_tax::DOUBLE) wb FROM lineitem),
+g AS (SELECT least(floor((l_discount::DOUBLE-la)/wa*8),7)::INT bin_a, least(floor((l_tax::DOUBLE-lb)/wb*8),7)::INT bin_b, count(*) n FROM lineitem, e GROUP BY 1,2)
+SELECT bin_a, bin_b, n, (row_number() OVER (ORDER BY bin_a, bin_b)-1)::INT state, n state_n FROM g""")
 def design_state_bins(spark, sf_dir):
-    d = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("a"), (F.col("l_tax") * 10).alias("b"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
     return frames.state_bins(d, ["a", "b"], 8, 4)
 
 

@@ -277,13 +277,13 @@ def fdr_pi0(spark, sf_dir):
     return ranking.fdr(_p_values(spark, sf_dir), "pv", "o_orderkey", "pi0").select("o_orderkey", F.round("q", 8).alias("q"))
 
 
-PERM = f"""WITH {EVENTS_SQL}, d AS (SELECT event_type, day u, avg(value)-50 y FROM ev WHERE day<6 GROUP BY 1,2), p AS (SELECT unnest(range(64)) perm),
+PERM = f"""WITH {EVENTS_SQL}, d AS (SELECT event_type, day%6 u, avg(value)-50 y FROM ev GROUP BY 1,2), p AS (SELECT unnest(range(64)) perm),
 s AS (SELECT perm, event_type, sum(CASE WHEN (perm//(2**u)::BIGINT)%2=0 THEN y ELSE -y END) s, sum(y*y) ss, count(*) n FROM d, p GROUP BY 1,2),
 t AS (SELECT perm, event_type, (s/n)/sqrt(greatest((ss-n*(s/n)*(s/n))/(n-1),1e-30)/n) t FROM s)"""
 
 
 def _flips(spark, sf_dir):
-    d = events(spark, sf_dir).where("day < 6").groupBy("event_type", F.col("day").alias("unit")).agg((F.avg("value") - 50).alias("y"))
+    d = events(spark, sf_dir).groupBy("event_type", (F.col("day") % 6).alias("unit")).agg((F.avg("value") - 50).alias("y"))
     return ranking.sign_flip_t(d, ranking.sign_flips(spark, 6), "event_type", "unit", "y")
 
 
@@ -495,6 +495,7 @@ def tcat(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", F.expr("stack(2, 0, l_discount, 1, l_tax) as (brick, value)"))
 
 
-@query("SELECT event_type, round(avg(value),6) mean, count(*) n FROM events GROUP BY 1")
+@query("""WITH r AS (SELECT user_id, avg(value) ref FROM events GROUP BY 1), m AS (SELECT user_id FROM r WHERE ref>=(SELECT quantile_cont(ref,0.6) FROM r))
+SELECT event_type, round(avg(value),6) mean, count(*) n FROM events JOIN m USING (user_id) GROUP BY 1""")
 def volume_means(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return rounded(groups.volume_means(table(spark, sf_dir, "events"), "user_id", "event_type", "value"))
