@@ -127,9 +127,9 @@ def brute_lines(rows, least=5):
     for k, t in rows:
         for n, line in enumerate((t or "").split("\n")):
             w = re.findall("[0-9a-z\x80-\U0010ffff]+", line.translate(UPPER))
-            if len(w) >= least:
+            if w:
                 places[" ".join(w)].append((k is None, k, n))
-    names = list(places)
+    names = [x for x in places if x.count(" ") >= least - 1]
     buf = np.frombuffer("\n".join(names).encode(), np.uint8)
     _, s, e = lines.split_lines(buf, np.array([0, len(buf)]))
     _, _, _, h, first = lines.normal_words(buf, s, e)
@@ -140,7 +140,7 @@ def brute_lines(rows, least=5):
             longer = max(len(names[i]), len(names[j]))
             if levenshtein(names[i], names[j]) <= 20 * longer // 100:
                 g.join(i, j)
-    groups = collections.defaultdict(list)
+    groups = collections.defaultdict(list, {x: v for x, v in places.items() if x.count(" ") < least - 1})
     for i, x in enumerate(names):
         groups[g.find(i)] += places[x]
     cut = collections.defaultdict(set)
@@ -163,6 +163,12 @@ def test_fuzzy_lines(spark):
     assert got == brute_lines(rows)
 
 
+def test_short_lines_link_only_with_equal_ones(spark):
+    rows = [(1, "Thank you!\n--\n漢字漢字"), (2, "thank  you\n--\nthank you all\n漢字漢字"), (3, "thank you al\n\nThank you!")]
+    got = {r.doc_id: (r.kept, r.n_cut, r.n_lines) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0, 2), 2: ("--\nthank you all", 2, 3), 3: ("thank you al\n", 1, 2)}
+
+
 def test_lines_odd(spark, odd_documents):
     got = lines.dedup(odd_documents)
     assert got.count() == odd_documents.count() and set(odd_documents.columns) < set(got.columns)

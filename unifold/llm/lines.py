@@ -1,8 +1,9 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line kept per group.
 
 Lines are compared in normal form: A-Z lower-cased, ASCII symbols as blanks, words
-joined by one space. Lines of fewer than ``least_words`` words are left alone.
-Equal lines are one node; nodes get a 64-bit SimHash of their distinct words. Lines
+joined by one space. Lines without words are left alone, and those of fewer than
+``least_words`` words link only with equal ones. Equal lines are one node; nodes
+of more words get a 64-bit SimHash of their distinct words. Lines
 of edit similarity 0.8 are often 10 bits and more apart, too far for blocks of the
 hash as keys. So nodes meet on word sequences that edits leave alone: short
 lines on what is left without any one word, others on the ``SMALLEST`` of their
@@ -287,7 +288,7 @@ def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
 
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row of ``df``: its columns, and kept (the text without its cut lines), n_cut and n_lines compared.
+    """Per row of ``df``: its columns, and kept (the text without its cut lines), n_cut and n_lines, its lines with words.
 
     ``kept`` joins the lines that stay by line feeds; a text with no line cut is
     returned as it is (null stays null). Input columns named like one of these
@@ -298,7 +299,7 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     storage.bounded_batches(spark)
     rid = F.xxhash64(F.col(id).cast("string"), F.col(text))
     rows = df.select(rid.alias("rid"), F.col(id).alias("id"), F.col(text).alias("text"))
-    found = storage.written(lines_of(rows, least_words), "lines")
+    found = storage.written(lines_of(rows, 1), "lines")
     comps = groups(rows.select("text"), percent, least_words)
     grouped = found.join(comps, "node", "left").select("rid", "id", "line", "m", F.coalesce("comp", "node").alias("comp"))
     grouped = storage.written(grouped, "line-groups")
