@@ -60,32 +60,40 @@ def pick(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-ROUNDS = "one", "main", "main", "main", "rest"  #: who is compared with whom, see :func:`linked`
+ROUNDS = "one", "main", "rest"  #: who is compared with whom, see :func:`linked`
 
 
-def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, compare) -> tuple[DataFrame, DataFrame]:
+def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, compare, leaders: int = 1, distance=None, few_keys: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, components) among nodes that share a key, without forming all pairs of large groups.
 
-    ``todo`` is a written table with a row (h, node, attributes) for each key of each
-    node. Pairs have columns a, b, and each attribute of both (na and nb for n);
+    ``todo`` is a written table with a row (h, node, c, attributes) for each key of each
+    node; c is how many rows have the key. Pairs have columns a, b, and each attribute of both (na and nb for n);
     ``possible`` is a condition on these that every link meets for at least one
     of its keys, and that holds for no pair whose ``size`` differs by more than a
     quarter of the lesser. ``compare`` gets distinct possible pairs and returns
     those that link, as a written table.
 
     A round compares each node with at most one other, and what is one component
-    by then is not compared any more. In the round *one*, every key names a leader,
-    its node of the least hash, and a node meets the least leader of its keys. In
-    the rounds *main*, a node outside the largest component of a key meets one
-    node of that component, another in each round. Last comes the exact round
+    by then is not compared any more. Nodes whose keys many others have come first:
+    in a group of copies each with changes of its own, that is the text they
+    come from, or one near to it, with which they link more often than with each other. In
+    the round *one*, every key names ``leaders`` of its nodes for each step of size, and a node meets one of the
+    leaders of its keys, that of the least ``distance`` (a cheap column on a pair), then the first. In
+    the round *main*, a node outside the largest component of a key meets one of as many
+    nodes of that component, chosen likewise. Last comes the exact round
     *rest*: under each key that still has several components, the nodes outside the largest are
     compared with all in other components, dealt by key and size, so that a key
-    of many nodes is many tasks. So two nodes of a key are compared, connected,
+    of many nodes is many tasks; where a node has ``few_keys`` (a bounded number), a pair is
+    made under the least of its common keys only. So two nodes of a key are compared, connected,
     or impossible, and a group of copies costs rows in proportion to its size.
     """
     spark = todo.sparkSession
+    attributes = (*attributes, "w")
     columns = ("node", "comp", *attributes)
-    have = todo.select("h", "node", F.col("node").alias("comp"), *attributes)
+    # Steps of 1.26: sizes that differ by a quarter at most are in one step or in two next to each other.
+    step = F.floor(F.log(F.col(size).cast("double")) / math.log(1.26))
+    weights = todo.groupBy("node").agg((-F.sum("c")).alias("w"))
+    have = todo.join(weights, "node").select("h", "node", F.col("node").alias("comp"), *attributes)
     links, comps, mine = None, None, None
 
     def sided(rows: DataFrame, side: str, *more: str) -> DataFrame:
@@ -96,28 +104,36 @@ def linked(todo: DataFrame, attributes: tuple[str, ...], size: str, possible, co
         sides = [("a", "b"), *((z + "a", z + "b") for z in attributes)]
         return found.select(*(F.when(swap, F.col(v)).otherwise(F.col(u)).alias(w) for m, n in sides for u, v, w in ((m, n, m), (n, m, n))))
 
+    share = lambda: F.pmod(F.xxhash64(F.lit(number), "node"), F.lit(leaders)).alias("q")
+
+    def first():
+        """The node that comes first, with its columns."""
+        return F.min(F.struct(F.col("w").alias("_w"), F.xxhash64(F.lit(number), "node").alias("_r"), *columns)).alias("t")
+
     for number, turn in enumerate(ROUNDS):
         apart = (F.col("ca") != F.col("cb")) & possible
-        salted = lambda c: F.xxhash64(F.lit(number), F.col(c))  # noqa: B023, E731
         if turn == "one":
-            top = have.groupBy("h").agg(F.min(F.struct(salted("node").alias("r"), *columns)).alias("t")).select("h", "t.*")
-            pairs = sided(have, "a").join(sided(top, "b"), "h").where(apart)
+            top = have.groupBy("h", step.alias("k"), share()).agg(first()).select("h", "k", *(f"t.{c}" for c in columns))
+            pairs = sided(have.withColumn("k", step), "a", "k").join(sided(top, "b", "k"), ["h", "k"]).where(apart)
         else:
-            first = F.min(F.struct(salted("node").alias("r"), "node", *attributes)).alias("t")
-            count = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"), first)
-            main = count.groupBy("h").agg(F.max(F.struct("m", "comp", "t")).alias("u")).select("h", F.col("u.comp").alias("_c"), "u.t")
+            sizes = have.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+            main = sizes.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("u")).select("h", F.col("u.comp").alias("_c"))
             if turn == "main":
-                top = main.select("h", F.col("_c").alias("comp"), "t.*")
+                top = have.join(main, "h").where("comp = _c").groupBy("h", share()).agg(first()).select("h", *(f"t.{c}" for c in columns))
                 pairs = sided(have, "a").join(sided(top, "b"), "h").where(apart)
             else:
-                # Steps of 1.26: sizes that differ by a quarter at most are in one step or in two next to each other.
-                step = F.floor(F.log(F.col(size).cast("double")) / math.log(1.26))
-                marked = have.join(main.select("h", "_c"), "h").withColumn("minor", F.col("comp") != F.col("_c")).withColumn("k", step)
-                one = sided(marked.where("minor").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "a", "k")
-                pairs = one.join(sided(marked, "b", "k", "minor"), ["h", "k"]).where(apart & (~F.col("minor") | (F.col("a") < F.col("b"))))
+                marked = have.join(main, "h").withColumn("minor", F.col("comp") != F.col("_c")).withColumn("k", step)
+                own = apart & (~F.col("minor") | (F.col("a") < F.col("b")))
+                more = ()
+                if few_keys:
+                    marked = marked.join(have.groupBy("node").agg(F.collect_set("h").alias("keys")), "node")
+                    more, own = ("keys",), own & (F.col("h") == F.array_min(F.array_intersect("keysa", "keysb")))
+                named = lambda rows, side: rows.withColumnsRenamed({z: z + side for z in more})  # noqa: B023, E731
+                one = sided(named(marked.where("minor").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "a"), "a", "k", *(z + "a" for z in more))
+                pairs = one.join(sided(named(marked, "b"), "b", "k", "minor", *(z + "b" for z in more)), ["h", "k"]).where(own)
         if turn != "rest":
-            pick_one = F.min(F.struct(salted("b").alias("r"), "b", *(z + "b" for z in attributes), *(z + "a" for z in attributes))).alias("t")
-            pairs = pairs.groupBy("a").agg(pick_one).select("a", "t.*")
+            near = F.struct(F.lit(0) if distance is None else distance, F.col("wb").alias("_w"), F.xxhash64("b"), "b", *(z + y for y in "ba" for z in attributes))
+            pairs = pairs.groupBy("a").agg(F.min(near).alias("t")).select("a", "t.b", *(f"t.{z}{y}" for y in "ba" for z in attributes))
         got = compare(ordered(pairs))
         links = got if links is None else links.union(got)
         # What is known already counts as one link for each node.

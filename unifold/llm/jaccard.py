@@ -8,9 +8,9 @@ common shingle (positional filter) and by how their shingles spread over 16
 ranges of hashes (suffix filter: what differs in the ranges' sizes differs in
 the sets); what is left is verified on the texts, once per pair.
 
-All pairs of a group of copies are never formed. Every prefix shingle names one
-leader, and each class is first compared with one of the leaders of its shingles.
-Then, in each of three rounds, a class outside the main component of one of its shingles is compared
+All pairs of a group of copies are never formed. Every prefix shingle names
+leaders, classes whose prefix shingles are common, and each class is first compared with one of the leaders of its shingles.
+Then a class outside the main component of one of its shingles is compared
 with one class of that component; shingles whose classes have all become one component are
 done. At last, only classes outside the main component of a shingle are compared
 with the others under it. Every pair that shares a prefix shingle and passes the length and
@@ -207,7 +207,7 @@ def grouped(df: DataFrame, id: str, text: str, gram: int, percent: int) -> DataF
     sets = storage.written(signatures(rows, gram), "shingle-sets")
     classes = storage.written(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("parts").alias("parts")), "shingle-classes")
     prefixes = tokens(rows, bucket_counts(rows, gram), gram, percent)
-    shared = storage.written(prefixes.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "shared")
+    shared = storage.written(prefixes.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c"), "shared")
     todo = storage.written(prefixes.join(shared, "h").distinct(), "shared-shingles")
     storage.drop(spark, shared)
     texts = storage.written(pick(signed_texts(rows, gram), todo.select("node").distinct()), "class-texts")

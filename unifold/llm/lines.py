@@ -30,8 +30,10 @@ from .components import linked, pick
 
 U = np.uint64
 BITS = 13
+PAIRS = 4096  #: pairs that one task verifies, about
 MASKS = 1 << 31  #: bits that the positions of all code points of a line may take, beyond which the JVM compares it
 SMALLEST = 6  #: keys of a line of each kind
+LEADERS = 16  #: lines that a key names in a round; each line is compared with the one of the nearest SimHash
 WHOLE = 7  #: words of a line that meets others without one of its words, at most
 SEQUENCES = (3, 6, 14), (4, 12, 1 << 40)  #: words of a sequence, and of the lines that it is taken from
 PERCENT = 80
@@ -267,7 +269,7 @@ def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
     """(node, comp) of every node that links with another one. ``rows``: text."""
     spark = rows.sparkSession
     keyed = keys_of(rows, least_words)
-    shared = storage.written(keys_of(rows, least_words, False).groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h"), "line-shared")
+    shared = storage.written(keys_of(rows, least_words, False).groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c"), "line-shared")
     todo = storage.written(keyed.join(shared, "h").dropDuplicates(["h", "node"]), "line-keys")
     storage.drop(spark, shared)
     texts = storage.written(pick(texts_of(rows, least_words), todo.select("node").distinct()), "line-texts")
@@ -276,12 +278,14 @@ def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
         close = storage.written(pairs.select("a", "b").distinct(), "line-pairs")
         held = pick(texts, close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
         both = close.join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-        got = storage.written(verified(both, percent), "line-links")
+        # Pairs are few bytes and much work, so their number tells how many tasks they get.
+        got = storage.written(verified(both.repartition(close.count() // PAIRS + 1, "a", "b"), percent), "line-links")
         storage.drop(spark, close)
         return got
 
-    possible = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    links, comps = linked(todo, ("s", "n"), "n", possible, compare)
+    apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+    possible = (apart <= BITS) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    links, comps = linked(todo, ("s", "n"), "n", possible, compare, LEADERS, apart, True)
     for t in (links, todo, texts):
         storage.drop(spark, t)
     return comps
