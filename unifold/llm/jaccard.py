@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel, storage
-from .components import linked, pick
+from .components import SMALL, linked, pick
 
 GRAM = 5
 PERCENT = 80
@@ -45,6 +45,18 @@ CHUNK = 1 << 12
 RANGES = 16
 
 
+def by_row(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their rows, sorted by row, then hash: by one number, or by both where that can't tell all apart."""
+    if len(row) and row[-1] < 1 << 20:
+        key = (row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+        order = np.argsort(key)
+        key, sorted_h = key[order], h[order]
+        if not ((key[1:] == key[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            return sorted_h, row[order]
+    order = np.lexsort((h, row))
+    return h[order], row[order]
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingles (A-Z lower-cased), sorted, and each row's first (n rows + 1)."""
     low = kernel.LOWER[buf]
@@ -56,8 +68,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, gram: int = GRAM) -> tuple[np.nd
     row = np.repeat(np.arange(len(n)), size)
     at = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size) + first[:-1][row]
     h = kernel.gram_hashes(items, at, np.minimum(n[row], gram))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h, row = by_row(h, row)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[new], row[new]
@@ -210,7 +221,7 @@ def grouped(df: DataFrame, id: str, text: str, gram: int, percent: int) -> DataF
     shared = storage.written(prefixes.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c"), "shared")
     todo = storage.written(prefixes.join(shared, "h").distinct(), "shared-shingles")
     storage.drop(spark, shared)
-    texts = storage.written(pick(signed_texts(rows, gram), todo.select("node").distinct()), "class-texts")
+    texts = storage.written(class_texts(rows, sets, todo.select("node").distinct()), "class-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         candidates = storage.written(filtered(pairs, classes, percent), "candidates")
@@ -232,18 +243,12 @@ def grouped(df: DataFrame, id: str, text: str, gram: int, percent: int) -> DataF
     return out.select("rid", "id", F.col("n").alias("n_shingles"), "comp", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def signed_texts(df: DataFrame, gram: int) -> DataFrame:
-    """(node, text) of each row with shingles."""
-
-    def run(batches):
-        for rows, buf, offs in kernel.slices(batches, 1):
-            h, first = shingles(buf, offs, gram)
-            with np.errstate(over="ignore"):
-                node = kernel.mix(kernel.per_row(kernel.mix(h + np.uint64(7)), first, np.uint64))
-            some = pa.array(np.diff(first) > 0)
-            yield pa.RecordBatch.from_arrays([kernel.signed(node).filter(some), rows.column(1).filter(some)], names=["node", "text"])
-
-    return df.mapInArrow(run, "node long, text string")
+def class_texts(rows: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), one row for each of ``nodes``: the text of the class's row of the least rid."""
+    chosen = sets.where("n > 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
+    if nodes.count() <= SMALL:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, "rid").select("node", "text").dropDuplicates(["node"])
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
