@@ -2,8 +2,9 @@
 
 A text is a sequence of words and one end, and every token a sequence of binary
 decisions: the path to it in a Huffman tree of the ``LEXICON`` commonest training
-tokens, or the path to *other* and then its bytes, bit by bit. Each decision is
-predicted in four contexts, hashed into tables of fixed size:
+tokens, or the path to *other* and then its bytes, each by its path in a Huffman tree of
+the bytes that follow the one before (every context of a spelling knows that one, so
+short paths lose nothing). Each decision is predicted in four contexts, hashed into tables of fixed size:
 
 - in the tree: none; the word before; the last very common word (which tells the
   language); the two words before;
@@ -44,6 +45,7 @@ from . import kernel, storage
 LEXICON = 1 << 18
 LEAST = 6  #: training occurrences of a word of the lexicon: spellings are learned on the others
 COMMON = 300_000  #: words whose exact counts are broadcast (under 5 MB)
+MERGED = 1 << 20  #: counts that a task merges before it hands them on
 BITS = 20  #: of a table's size
 TABLES = 4
 CHUNK = 1 << 14
@@ -53,14 +55,17 @@ RATE = 0.015, 0.006  #: of learning, in the tree and in spellings
 START = np.array([[0.15, 0.35, 0.6, 0.2], [0.28, 0.36, 0.3, 0.3]], np.float32)  #: weights of tree and spelling
 GATES = 24
 SLICE = 384 << 10
-MIXED = np.uint64(0x9E3779B97F4A7C15)
-NODE = np.uint64(0xD6E8FEB86659FD93)
 STEPS = 24  #: buckets of the probability map
 
 U = np.uint64
 END = U(0xE4D)  #: stands for the hash of the end
 
 
+def scattered(nodes: np.ndarray) -> np.ndarray:
+    """32-bit hashes of nodes."""
+    return (kernel.mix(nodes.astype(np.uint64) + U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray):
     """Lower-cased bytes, word spans, token hashes with ends, and each row's first token (n rows + 1)."""
     low = kernel.LOWER[buf]
@@ -102,29 +107,79 @@ class Codes:
             self.nodes[place] = here[own]
 
 
+def depths(size: np.ndarray, most: int) -> np.ndarray:
+    """0, 1, 2... along each of the runs of ``size``, ``most`` at most."""
+    return np.minimum(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), most).astype(np.uint8)
+
+
+class Spellings:
+    """Huffman codes of a byte after each byte: symbol 256 * before + byte; every byte has one, seen or not."""
+
+    def __init__(self, pairs: np.ndarray):
+        codes = [Codes(row + 1) for row in pairs.reshape(256, 256)]
+        self.size = np.concatenate([c.size for c in codes])
+        self.at = np.cumsum(self.size) - self.size
+        self.bits = np.concatenate([c.bits for c in codes])
+        self.hashes = scattered(np.concatenate([c.nodes + np.int64(k * 512 + (1 << 40)) for k, c in enumerate(codes)]))
+        self.gates = GATES - 8 + depths(self.size, 7)
+
+
+class Index:
+    """Finds hashes among sorted ones: their upper bits tell about where, so that few steps are left."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.shift = U(64 - max(1, len(hashes).bit_length()))
+        self.begin = np.searchsorted(hashes, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.hashes = np.append(hashes, U(2**64 - 1))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the sorted hashes, whether the hash there is the one looked for)."""
+        at = np.take(self.begin, (h >> self.shift).astype(np.int64))
+        found = np.take(self.hashes, at)
+        less = np.flatnonzero(found < h)
+        while len(less):
+            at[less] += 1
+            found[less] = self.hashes[at[less]]
+            less = less[found[less] < h[less]]
+        return at, (found == h) & (at < len(self.hashes) - 1)
+
+
 class Lexicon:
     """Symbols: 0 the end, 1 other, from 2 on words from common to rare."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, other: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, other: int, pairs: np.ndarray):
         rank = np.lexsort((hashes, -counts))
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
+        self.index = Index(hashes[order])
         symbol = np.empty(len(hashes), np.int64)
         symbol[rank] = np.arange(len(hashes)) + 2
         self.symbol = symbol[order]
         self.codes = Codes(np.concatenate([[max(ends, 1), max(other, 1)], counts[rank]]))
+        self.codes.hashes, self.codes.gates = scattered(self.codes.nodes), depths(self.codes.size, GATES - 9)
+        self.spellings = Spellings(pairs)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, self.symbol[at], 1)
+        at, known = self.index.find(h)
+        out = np.where(known, np.append(self.symbol, 1)[at], 1)
         out[h == END] = 0
         return out
 
 
-def slot(key: np.ndarray) -> np.ndarray:
-    return ((key * MIXED) >> U(64 - BITS)).astype(np.int32)
+def slots(context: np.ndarray, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slots of all decisions: ``context`` has a 64-bit hash for each run of ``size`` of them, ``node`` a hash for each."""
+    key = np.repeat((context >> U(32)).astype(np.uint32), size)
+    key ^= node
+    key >>= np.uint32(32 - BITS)
+    return key.view(np.int32)
+
+
+def paths(codes, symbols: np.ndarray):
+    """(size, hash of each node, bit, gate, end of each run) of the paths of ``symbols``, one after the other."""
+    size = codes.size[symbols]
+    stop = np.cumsum(size)
+    at = np.repeat(codes.at[symbols] - (stop - size), size)
+    at += np.arange(len(at))
+    return size, np.take(codes.hashes, at), np.take(codes.bits, at), np.take(codes.gates, at), np.concatenate([[0], stop])
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -148,15 +203,10 @@ def decisions(lex: Lexicon, buf: np.ndarray, offs: np.ndarray):
     latest = np.where(latest >= first[row], latest, -1)
     tongue = np.where(latest >= 0, sym[np.maximum(latest, 0)], 0)
     with np.errstate(over="ignore"):
-        contexts = [np.full(n, U(11)), kernel.mix(left + U(3)), spread(tongue * 8 + 5), kernel.mix(left + spread(before2))]
-        size = lex.codes.size[sym]
-        stop = np.cumsum(size)
-        begin = stop - size
-        at = np.repeat(lex.codes.at[sym] - begin, size) + np.arange(stop[-1] if n else 0)
-        node, bit = lex.codes.nodes[at].astype(np.uint64) * NODE, lex.codes.bits[at]
-        tree = [slot(np.repeat(c, size) + node) for c in contexts]
-        depth = np.minimum(np.arange(len(at)) - np.repeat(begin, size), GATES - 9)
-        edges = np.concatenate([[0], stop])[first]
+        contexts = [kernel.mix(left + U(3)), spread(tongue * 8 + 5), kernel.mix(left + spread(before2))]
+        size, node, bit, gate, stop = paths(lex.codes, sym)
+        tree = [(node >> np.uint32(32 - BITS)).view(np.int32), *(slots(c, size, node) for c in contexts)]
+        edges = stop[first]
         # Spellings: the bytes of a word and one blank.
         own = np.flatnonzero(sym == 1)
         a, b = starts[word[own]], ends[word[own]]
@@ -166,7 +216,7 @@ def decisions(lex: Lexicon, buf: np.ndarray, offs: np.ndarray):
         place = np.repeat(a, length) + k
         byte = np.append(low, 32)[place].astype(np.uint64)
         byte[till - 1] = 32
-        back = [np.where(k >= d, np.append(low, 32)[np.maximum(place - d, 0)], 0).astype(np.uint64) for d in (1, 2, 3, 4)]
+        back = [np.concatenate([np.zeros(d, np.uint64), byte[: max(len(byte) - d, 0)]])[: len(byte)] * (k >= d) for d in (1, 2, 3, 4)]
         p, q = kernel.powers(0, len(byte) + 1)
         sums = np.concatenate([[U(0)], np.cumsum((byte + U(1)) * p[: len(byte)])])
         start = np.repeat(till - length, length)
@@ -178,12 +228,10 @@ def decisions(lex: Lexicon, buf: np.ndarray, offs: np.ndarray):
             spread(back[0] + np.repeat(tongue[own], length).astype(np.uint64) * U(1024) + U(1 << 41)),
             spread(pair * U(66049) + back[2] * U(257) + back[3] + U(1 << 42)),
         ]
-        level = np.tile(np.arange(8), len(byte))
-        wide = np.repeat(byte, 8).astype(np.int64)
-        node = ((1 << level) | (wide >> (8 - level))).astype(np.uint64) * NODE
-        spelled = [slot(np.repeat(c, 8) + node) for c in ctx]
-    edge2 = 8 * np.concatenate([[0], till])[np.searchsorted(own, first)]
-    return (tree, bit, depth.astype(np.int64), edges), (spelled, ((wide >> (7 - level)) & 1).astype(np.uint8), GATES - 8 + level, edge2)
+        size, node, bit2, gate2, stop = paths(lex.spellings, (back[0] * U(256) + byte).astype(np.int64))
+        spelled = [slots(c, size, node) for c in ctx]
+    edge2 = stop[np.concatenate([[0], till])[np.searchsorted(own, first)]]
+    return (tree, bit, gate, edges), (spelled, bit2, gate2, edge2)
 
 
 def table_counts(train: DataFrame, lex) -> np.ndarray:
@@ -192,23 +240,12 @@ def table_counts(train: DataFrame, lex) -> np.ndarray:
     width = 2 * TABLES << BITS
 
     def count(batches):
-        sums = np.zeros((TABLES, 2 << BITS), np.int64)
-        held: list[list[np.ndarray]] = [[] for _ in range(TABLES)]
-
-        def put():
-            for t in range(TABLES):
-                if held[t]:
-                    sums[t] += np.bincount(np.concatenate(held[t]), minlength=2 << BITS)
-                    held[t].clear()
-
-        for k, (_, buf, offs) in enumerate(kernel.slices(batches, 0, SLICE)):
-            for slots, bit, _, _ in decisions(lex.value, buf, offs):
+        sums = np.zeros((TABLES, 2 << BITS), np.int32)
+        for _, buf, offs in kernel.slices(batches, 0, SLICE):
+            for found, bit, _, _ in decisions(lex.value, buf, offs):
                 for t in range(TABLES):
-                    held[t].append(slots[t] * 2 + bit)
-            if k % 4 == 3:
-                put()
-        put()
-        flat = sums.astype(np.int32).ravel()
+                    np.add.at(sums[t], found[t] * 2 + bit, np.int32(1))
+        flat = sums.ravel()
         for c in range(0, width // CHUNK, 64):
             ids = [k for k in range(c, c + 64) if flat[k * CHUNK : (k + 1) * CHUNK].any()]
             packed = [zlib.compress(flat[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in ids]
@@ -244,40 +281,45 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 
 def cost(table: np.ndarray, stream, start: np.ndarray, rate: float) -> np.ndarray:
     """The natural logarithm of the probability of each row's decisions."""
-    slots, bit, gate, edges = stream
-    rows = len(edges) - 1
-    out = np.zeros(rows)
+    found, bit, gate, edges = stream
+    out = np.zeros(len(edges) - 1)
     size = np.diff(edges)
     order = np.argsort(-size, kind="stable")
     active = int((size > 0).sum())
     if not active:
         return out
-    x = np.stack([table[t][slots[t]] for t in range(TABLES)], axis=1)
-    weights = np.broadcast_to(start, (active * GATES, TABLES)).astype(np.float32)
-    hits = np.zeros((2, active * STEPS), np.float32)
+    inputs = [np.take(table[t], found[t]) for t in range(TABLES)]
+    weights = [np.full(active * GATES, w, np.float32) for w in start]
+    hits = np.zeros((active * STEPS, 2))
     done = 0
     sizes, begins = size[order], edges[:-1][order]
     while active:
         span = min(max(done // 3, SEGMENT[0]), SEGMENT[1])
         take = np.minimum(sizes[:active] - done, span)
         stop = np.cumsum(take)
+        at = np.arange(stop[-1]) + np.repeat(begins[:active] + done - (stop - take), take)
         doc = np.repeat(np.arange(active), take)
-        at = np.arange(stop[-1]) + (begins[:active] + done - (stop - take))[doc]
-        key = doc * GATES + gate[at]
-        seen, one = x[at], bit[at] > 0
-        dot = np.einsum("ij,ij->i", seen, weights[key])
+        key = doc * GATES
+        key += np.take(gate, at)
+        seen = [np.take(x, at) for x in inputs]
+        one = np.take(bit, at)
+        dot = seen[0] * np.take(weights[0], key)
+        for t in range(1, TABLES):
+            dot += seen[t] * np.take(weights[t], key)
         np.minimum(np.maximum(dot, -12, out=dot), 12, out=dot)
+        cell = doc * STEPS
+        cell += ((dot + np.float32(12)) * np.float32(STEPS / 24.001)).astype(np.int64)
         p = 1 / (1 + np.exp(-dot))
-        cell = doc * STEPS + ((dot + 12) * (STEPS / 24.001)).astype(np.int64)
-        all_, yes = hits[0][cell], hits[1][cell]
         # The map's estimate leans on the mix until it has seen some hundred decisions.
-        q = (p + (yes + 120 * p) / (all_ + 120)) / 2
-        out[order[:active]] += np.bincount(doc, np.log(np.where(one, q, 1 - q)), active)
+        lean = 0.5 / (hits[: active * STEPS].sum(1) + 120)
+        q = p * np.take((0.5 + 120 * lean).astype(np.float32), cell) + np.take((hits[: active * STEPS, 1] * lean).astype(np.float32), cell)
+        # What the decision's own bit had: q of a one, 1 - q of a zero.
+        q -= one ^ 1
+        out[order[:active]] += np.add.reduceat(np.log(np.abs(q, out=q)), stop - take, dtype=np.float64)
         wrong = (one - p) * np.float32(rate)
         for t in range(TABLES):
-            weights[: active * GATES, t] += np.bincount(key, wrong * seen[:, t], active * GATES)
-        hits[0, : active * STEPS] += np.bincount(cell, minlength=active * STEPS)
-        hits[1, : active * STEPS] += np.bincount(cell[one], minlength=active * STEPS)
+            np.add.at(weights[t], key, wrong * seen[t])
+        hits[: active * STEPS] += np.bincount(2 * cell + one, minlength=2 * active * STEPS).reshape(-1, 2)
         done += span
         active = int(np.searchsorted(-sizes[:active], -done, "left"))
     return out
@@ -297,15 +339,40 @@ def held_out(id):
     return F.coalesce(F.crc32(id.cast("string")) % 5 == 1, F.lit(True))
 
 
+def pair_counts(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each byte follows each in words and the blank after them: cell 256 * before + byte, before is 0 at a start."""
+    pair = low.astype(np.int32)
+    pair[1:] += low[:-1].astype(np.int32) << 8
+    pair[starts] = low[starts]
+    return np.bincount(pair[~kernel.WHITE[low]], minlength=1 << 16) + np.bincount((low[ends - 1].astype(np.int32) << 8) + 32, minlength=1 << 16)
+
+
 def token_counts(train: DataFrame) -> DataFrame:
-    """(h, c) of every distinct training token."""
+    """(pair, h, c) of every distinct training token, and where ``pair`` of every cell of :func:`pair_counts`."""
 
     def run(batches):
+        sums, held, many = np.zeros(1 << 16, np.int64), [], 0
+
+        def put():
+            h, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            c = np.bincount(place, np.concatenate([x for _, x in held])).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), bool)), kernel.signed(h), pa.array(c)], names=["pair", "h", "c"])
+
         for _, buf, offs in kernel.slices(batches, 0):
-            h, c = np.unique(tokens(buf, offs)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([kernel.signed(h), pa.array(c)], names=["h", "c"])
+            low, starts, ends, found, _, _ = tokens(buf, offs)
+            sums += pair_counts(low, starts, ends)
+            held.append(np.unique(found, return_counts=True))
+            many += len(held[-1][0])
+            if many > MERGED:
+                yield put()
+                many = 0
+        if held:
+            yield put()
+        own = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.array(own), pa.array(sums[own])], names=["pair", "h", "c"])
 
-    return train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return train.mapInArrow(run, "pair boolean, h long, c long").groupBy("pair", "h").agg(F.sum("c").alias("c"))
 
 
 def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +391,10 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     storage.bounded_batches(spark)
     rows = df.select(F.col(id).alias("id"), held_out(F.col(id)).alias("held_out"), F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("rid"), F.col(text).alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
-    counts = storage.written(token_counts(train), "token-counts")
+    all_counts = storage.written(token_counts(train), "token-counts")
+    counts = all_counts.where("not pair").select("h", "c")
+    pairs, cells = np.zeros(1 << 16, np.int64), all_counts.where("pair").toArrow()
+    pairs[cells.column("h").to_numpy()] = cells.column("c").to_numpy()
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"]
     common, times = commonest(counts, COMMON)
@@ -333,9 +403,9 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     top = np.argsort(-times, kind="stable")[: LEXICON + 1]
     top = top[(common[top] != END) & (times[top] >= LEAST)][:LEXICON]
     ends = int(times[common == END].sum()) if len(common) else 0
-    lex = spark.sparkContext.broadcast(Lexicon(common[top], times[top], ends, n - ends - int(times[top].sum())))
+    lex = spark.sparkContext.broadcast(Lexicon(common[top], times[top], ends, n - ends - int(times[top].sum()), pairs))
     tables = spark.sparkContext.broadcast(stretched(table_counts(train, lex)))
-    share = spark.sparkContext.broadcast((common, times))
+    share = spark.sparkContext.broadcast((Index(common), np.append(times, -1)))
     whole = n + 0.5 * (v + 1)
 
     def logs(c: np.ndarray) -> np.ndarray:
@@ -343,11 +413,9 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     def lookup(h: np.ndarray) -> np.ndarray:
         """Counts of common tokens, -1 for others."""
-        known, c = share.value
-        if not len(known):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, c[at], -1)
+        index, c = share.value
+        at, known = index.find(h)
+        return np.where(known, c[at], -1)
 
     def rare(batches):
         for part, buf, offs in kernel.slices(batches, 1):
