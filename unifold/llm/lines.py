@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -144,60 +144,47 @@ def compared(buf: np.ndarray, offs: np.ndarray, least_words: int):
     return low, ws[member], we[member], hashes, row[keep], number[keep], edge, kernel.gram_hashes(hashes, edge[:-1], np.diff(edge))
 
 
-def lines_of(df: DataFrame, least_words: int) -> DataFrame:
-    """(rid, id, line, node, m) of each line that is compared; m is how many its row has. ``df``: rid, id, text."""
+def sketches_of(df: DataFrame, least_words: int) -> DataFrame:
+    """A row for each line with words: rid, id, line, node, and m, how many of them its row has. ``df``: rid, id, text.
+
+    Where a node of at least ``least_words`` words comes first in a slice, its row
+    also has what the node is compared by: keys, SimHash s, length n in code points,
+    and text in normal form. So texts are read once.
+    """
 
     def run(batches):
         for rows, buf, offs in kernel.slices(batches, 2):
-            *_, row, number, _, node = compared(buf, offs, least_words)
+            low, ws, we, hashes, row, number, edge, node = compared(buf, offs, 1)
             take, many = pa.array(row), np.bincount(row, minlength=rows.num_rows)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), kernel.signed(node), pa.array(many[row].astype(np.int32))], names=["rid", "id", "line", "node", "m"])
-
-    return df.mapInArrow(run, f"rid long, id {dict(df.dtypes)['id']}, line int, node long, m int")
-
-
-def keys_of(df: DataFrame, least_words: int, sketched: bool = True) -> DataFrame:
-    """(h, node) of each key of each line, and if ``sketched`` (s, n), SimHash and length of the normal form. ``df``: text."""
-
-    def run(batches):
-        for _, buf, offs in kernel.slices(batches, 0):
-            low, ws, we, hashes, _, _, edge, node = compared(buf, offs, least_words)
-            own = np.sort(np.unique(node, return_index=True)[1])
+            own = np.unique(node, return_index=True)[1]
+            own = np.sort(own[np.diff(edge)[own] >= least_words])
             size = np.diff(edge)[own]
             first = np.concatenate([[0], np.cumsum(size)])
-            at = np.arange(first[-1]) + np.repeat(edge[own] - first[:-1], size)
-            line, key = line_keys(hashes[at], first)
-            met = [kernel.signed(key), kernel.signed(node[own][line])]
-            if not sketched:
-                yield pa.RecordBatch.from_arrays(met, names=["h", "node"])
-                continue
-            points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-            chars = kernel.per_row((points[we] - points[ws])[at] + 1, first) - 1
-            sim = simhash(hashes[at], first)
-            yield pa.RecordBatch.from_arrays([*met, kernel.signed(sim[line]), pa.array(chars[line].astype(np.int32))], names=["h", "node", "s", "n"])
-
-    return df.mapInArrow(run, "h long, node long, s long, n int" if sketched else "h long, node long")
-
-
-def texts_of(df: DataFrame, least_words: int) -> DataFrame:
-    """(node, text in normal form) of each line that is compared. ``df``: text."""
-
-    def run(batches):
-        for _, buf, offs in kernel.slices(batches, 0):
-            low, ws, we, _, _, _, edge, node = compared(buf, offs, least_words)
-            own = np.sort(np.unique(node, return_index=True)[1])
-            size = np.diff(edge)[own]
-            word = np.arange(size.sum()) + np.repeat(edge[own] - (np.cumsum(size) - size), size)
+            word = np.arange(first[-1]) + np.repeat(edge[own] - first[:-1], size)
+            mine = hashes[word]
+            line, key = line_keys(mine, first)
+            count = np.bincount(line, minlength=len(own))
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), kernel.signed(key[np.argsort(line, kind="stable")]))
+            # Words with a blank each, but for the last of a line.
             wide = (we - ws)[word] + 1
+            wide[first[1:] - 1] -= 1
             stop = np.cumsum(wide)
             at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(ws[word] - (stop - wide), wide)
-            flat = np.append(low, 0)[at].astype(np.uint8)
-            flat[stop - 1] = 32
-            whole, edges = flat.tobytes(), np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(size)])].tolist()
-            got = [whole[a : b - 1] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([kernel.signed(node[own]), pa.array(got, pa.binary()).cast(pa.string())], names=["node", "text"])
-
-    return df.mapInArrow(run, "node long, text string")
+            flat = np.append(low, 32)[at].astype(np.uint8)
+            blank = np.ones(len(word), bool)
+            blank[first[1:] - 1] = False
+            flat[stop[blank] - 1] = 32
+            edges = np.concatenate([[0], stop])[first]
+            text = pa.StringArray.from_buffers(len(own), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat))
+            chars = kernel.per_row((flat & 0xC0) != 0x80, edges)
+            place = np.full(len(node), -1)
+            place[own] = np.arange(len(own))
+            place = pa.array(place, mask=place < 0)
+            held = [x.take(place) for x in (keys, kernel.signed(simhash(mine, first)), pa.array(chars.astype(np.int32)), text)]
+            told = [rows.column(0).take(take), rows.column(1).take(take), pa.array(number.astype(np.int32)), kernel.signed(node), pa.array(many[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*told, *held], names=["rid", "id", "line", "node", "m", "keys", "s", "n", "text"])
+
+    return df.mapInArrow(run, f"rid long, id {dict(df.dtypes)['id']}, line int, node long, m int, keys array<long>, s long, n int, text string")
 
 
 def within(a: str, b: str, most: int) -> bool | None:
@@ -265,14 +252,13 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
     return found.where(F.expr(f"ta is null or levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
 
 
-def groups(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(node, comp) of every node that links with another one. ``rows``: text."""
-    spark = rows.sparkSession
-    keyed = keys_of(rows, least_words)
-    shared = storage.written(keys_of(rows, least_words, False).groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("h", "c"), "line-shared")
-    todo = storage.written(keyed.join(shared, "h").dropDuplicates(["h", "node"]), "line-keys")
-    storage.drop(spark, shared)
-    texts = storage.written(pick(texts_of(rows, least_words), todo.select("node").distinct()), "line-texts")
+def groups(sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, comp) of every node that links with another one. ``sketches``: a written table as :func:`sketches_of` gives it."""
+    spark = sketches.sparkSession
+    nodes, same = sketches.where("keys is not null"), Window.partitionBy("h")
+    keyed = nodes.select(F.explode("keys").alias("h"), "node", "s", "n").select("*", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi"), F.count(F.lit(1)).over(same).alias("c"))
+    todo = storage.written(keyed.where("lo <> hi").select("h", "node", "s", "n", "c").dropDuplicates(["h", "node"]), "line-keys")
+    texts = storage.written(pick(nodes.select("node", "text"), todo.select("node").distinct()), "line-texts")
 
     def compare(pairs: DataFrame) -> DataFrame:
         close = storage.written(pairs.select("a", "b").distinct(), "line-pairs")
@@ -303,8 +289,8 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
     storage.bounded_batches(spark)
     rid = F.xxhash64(F.col(id).cast("string"), F.col(text))
     rows = df.select(rid.alias("rid"), F.col(id).alias("id"), F.col(text).alias("text"))
-    found = storage.written(lines_of(rows, 1), "lines")
-    comps = groups(rows.select("text"), percent, least_words)
+    found = storage.written(sketches_of(rows, least_words), "lines")
+    comps = groups(found, percent)
     grouped = found.join(comps, "node", "left").select("rid", "id", "line", "m", F.coalesce("comp", "node").alias("comp"))
     grouped = storage.written(grouped, "line-groups")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "rid", "line")
